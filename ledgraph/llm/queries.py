@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgraph.llm import groups, packing, pieces, replay, survivor
+from ledgraph.llm import groups, packing, pieces, replay, survivor, truncation
 from ledgraph.sources.tables import table
 
 
@@ -52,7 +52,15 @@ def p9_fill(spark, d):
     return packing.fill_rate(packing.pack(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p5_found, p5_records, p5_truths, p6_found, p8_ids, p9_containers, p9_fill)}
+def p10_found(spark, d):
+    return truncation.truncated(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_shares(spark, d):
+    return truncation.share_by_source(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p5_found, p5_records, p5_truths, p6_found, p8_ids, p9_containers, p9_fill, p10_found, p10_shares)}
 ORACLE = {
     "p5_found": """
 WITH r AS (
