@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgraph.llm import groups, packing, pieces, replay, survivor, truncation
+from ledgraph.llm import groups, packing, pieces, replay, survivor, truncation, variants
 from ledgraph.sources.tables import table
 
 
@@ -15,6 +15,14 @@ def _oversized(spark, d):
     return docs.unionByName(talk).join(F.broadcast(lim), "item_kind")  # two rows, fixed
 
 
+def p1_found(spark, d):
+    return variants.attribute(table(spark, d, "mentions"), table(spark, d, "entities"))
+
+
+def p1_spellings(spark, d):
+    return variants.spellings_of(table(spark, d, "mentions"), table(spark, d, "entities"))
+
+
 def p2_found(spark, d):
     got = pieces.split_items(_oversized(spark, d), with_text=False)
     return got.groupBy("item_kind", "item_id").agg(F.when(F.max("forced"), "forced").otherwise("natural").alias("cut"))
@@ -60,7 +68,7 @@ def p10_shares(spark, d):
     return truncation.share_by_source(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p5_found, p5_records, p5_truths, p6_found, p8_ids, p9_containers, p9_fill, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_spellings, p2_found, p2_pieces, p5_found, p5_records, p5_truths, p6_found, p8_ids, p9_containers, p9_fill, p10_found, p10_shares)}
 ORACLE = {
     "p5_found": """
 WITH r AS (
