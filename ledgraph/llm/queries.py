@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgraph.llm import groups, packing, pieces, replay, survivor, truncation, variants
+from ledgraph.llm import arrivals, groups, packing, pieces, replay, survivor, truncation, variants
 from ledgraph.sources.tables import table
 
 
@@ -32,6 +32,10 @@ def p2_pieces(spark, d):
     return pieces.split_items(_oversized(spark, d))
 
 
+def p3_found(spark, d):
+    return arrivals.repeats(table(spark, d, "incoming_mentions"), table(spark, d, "entities"))
+
+
 def p5_found(spark, d):
     return survivor.survivors(table(spark, d, "entity_records"), table(spark, d, "source_trust"))
 
@@ -68,7 +72,7 @@ def p10_shares(spark, d):
     return truncation.share_by_source(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_spellings, p2_found, p2_pieces, p5_found, p5_records, p5_truths, p6_found, p8_ids, p9_containers, p9_fill, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_spellings, p2_found, p2_pieces, p3_found, p5_found, p5_records, p5_truths, p6_found, p8_ids, p9_containers, p9_fill, p10_found, p10_shares)}
 ORACLE = {
     "p5_found": """
 WITH r AS (
