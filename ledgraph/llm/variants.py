@@ -252,7 +252,7 @@ def attribute(mentions: DataFrame, entities: DataFrame, kinds: tuple[str, ...] =
     aliases = ents.select("type", "canon_id", F.explode("aliases").alias("text")).where("text is not null")
     listed = ents.select("type", "canon_id", F.col("canonical").alias("text")).unionByName(aliases).distinct()
     seen = mentions.where(F.col("type").isin(*kinds) & F.col("text").isNotNull()).select("mention_id", "type", "text", "context")
-    counts = seen.groupBy("type", "text").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(seen.groupBy("type", "text").agg(F.count(F.lit(1)).alias("n")), "counts")
     prior = counts.join(listed, ["type", "text"]).groupBy("canon_id").agg(F.log1p(F.sum("n")).alias("prior"))
     spellings = counts.join(listed.select("type", "text").distinct(), ["type", "text"], "left_anti").select("type", "text")
     s_keys = spellings.mapInArrow(*_table("type string, text string, key string", _spelling_keys))
@@ -263,27 +263,25 @@ def attribute(mentions: DataFrame, entities: DataFrame, kinds: tuple[str, ...] =
     # Nicknames: told by an alias, or by two or more surnames.
     first_word = lambda c: F.lower(F.regexp_extract(c, r"(?U)^(\w+)", 1))
     told = aliases.where("type = 'person'").join(names.where("type = 'person'").select("canon_id", "name"), "canon_id")
-    told = told.select(first_word(F.col("text")).alias("nick"), first_word(F.col("name")).alias("first")).distinct()
+    told = told.select(first_word(F.col("text")).alias("nick"), first_word(F.col("name")).alias("first"))
     nicks = scored.where("nick <> '' and like > -3").groupBy("nick", "first").agg(F.countDistinct("last").alias("n")).where("n >= 2").select("nick", "first")
     names_first = names.where("type = 'person'").select(first_word(F.col("name")).alias("nick")).distinct()
     nicks = nicks.join(names_first, "nick", "left_anti").unionByName(told).distinct().withColumn("known", F.lit(True))
     good = scored.join(nicks, ["nick", "first"], "left").where("nick = '' or known")
     post = good.join(prior, "canon_id", "left").withColumn("post", F.col("like") + 0.1 * F.coalesce("prior", F.lit(0.0)))
-    post = post.where(F.col("post") >= floor)
+    post = stage(post.where(F.col("post") >= floor).select("type", "text", "canon_id", "post"), "posterior")
     best = post.groupBy("type", "text").agg(F.max("post").alias("top"))
-    near = post.join(best, ["type", "text"]).where(F.col("post") >= F.col("top") - margin).select("type", "text", "canon_id", "name", "post")
-    n = near.groupBy("type", "text").agg(F.count(F.lit(1)).alias("rivals"), F.max("post").alias("top"))
-    first = near.join(n, ["type", "text"])
-    winner = first.where("post = top").groupBy("type", "text").agg(F.min("canon_id").alias("canon_id"), F.max("rivals").alias("rivals"))
-    hits = seen.join(winner, ["type", "text"])
-    sure = hits.where("rivals = 1").select("mention_id", "canon_id")
+    near = post.join(best, ["type", "text"]).where(F.col("post") >= F.col("top") - margin)
+    by_entity = listed.groupBy("canon_id").agg(F.collect_set(F.lower("text")).alias("listed"))
+    near = near.join(by_entity, "canon_id").groupBy("type", "text").agg(F.collect_list(F.struct("canon_id", "post", "listed")).alias("rivals"))
+    near = stage(near, "rivals")
+    sure = near.where("size(rivals) = 1").select("type", "text", F.expr("rivals[0].canon_id").alias("canon_id"))
+    sure = seen.select("mention_id", "type", "text").join(sure, ["type", "text"]).select("mention_id", "canon_id")
     # Of the rivals' listed names, which stand in the context?
-    rivals = first.where("rivals > 1").select("type", "text", F.col("canon_id").alias("rival"), "post").join(
-        listed.groupBy("canon_id").agg(F.collect_set(F.lower("text")).alias("listed")), F.col("rival") == F.col("canon_id")
-    ).drop("canon_id")
-    open_ = hits.where("rivals > 1").join(rivals, ["type", "text"])
-    told_by = F.expr("exists(listed, x -> contains(lower(coalesce(context, '')), x))")
-    picked = open_.groupBy("mention_id").agg(F.max_by("rival", F.struct(told_by.cast("int"), F.col("post"), (F.col("rival") == F.col("canon_id")).cast("int"))).alias("canon_id"))
+    open_ = seen.join(near.where("size(rivals) > 1"), ["type", "text"])
+    ranked = F.expr("transform(rivals, r -> struct(exists(r.listed, x -> contains(lower(coalesce(context, '')), x)) as told, r.post as post, r.canon_id as canon_id))")
+    open_ = open_.select("mention_id", ranked.alias("r")).select("mention_id", "r", F.expr("array_max(transform(r, x -> struct(x.told, x.post)))").alias("m"))
+    picked = open_.select("mention_id", F.expr("array_min(transform(filter(r, x -> x.told = m.told and x.post = m.post), x -> x.canon_id))").alias("canon_id"))
     return sure.unionByName(picked).groupBy("mention_id").agg(F.min("canon_id").alias("canon_id"))
 
 
