@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgraph.sources.tables import stage
+
 #: Marks left by cutting, ends of sentences, and abbreviations whose full stop ends no sentence.
 MARKS = r"(?:\.\.\.|…|\[\s*(?:…|\.\.\.|more|truncated|cut)?\s*\]?|\((?:truncated|more|cont\.?|continued)\)|�+|(?i:read more|<truncated>|-- more --))"
 STOPS = r"[.!?。！？؟।]"
@@ -18,35 +20,56 @@ ABBREVIATIONS = r"(?:^|[\s(])(?:(?:\p{L}\.)+|Inc\.|Corp\.|Co\.|Ltd\.|Mr\.|Mrs\.|
 ENCODINGS = ("chars", "utf16", "utf8", "html", "html_utf8", "quoted_html", "json", "json_utf8", "crlf", "crlf_utf8", "lf")
 
 
-def _count(chars: str):
-    """How many of the characters stand in the text."""
-    return F.length("text") - F.length(F.translate(F.col("text"), chars, ""))
+WHITE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u200b\ufeff"
+
+
+def _count(*marks: str):
+    """How often the ASCII marks stand in the text, by bytes."""
+    size = F.octet_length("text")
+    one = lambda m: (size - F.octet_length(F.replace("text", F.lit(m), F.lit("")))) / len(m)
+    total = one(marks[0])
+    for m in marks[1:]:
+        total = total + one(m)
+    return total
 
 
 def lengths() -> dict:
     """The text's length as a store would count it, by encoding."""
     n, b = F.length("text"), F.octet_length("text")
-    pairs = F.regexp_count(F.col("text"), F.lit(r"\r\n"))
-    lines, returns = _count("\n"), _count("\r")
-    esc, quotes = 4 * _count("&") + 3 * _count("<>"), _count("\"'") * 5
-    slashes = _count('"\\\n\r\t')
+    pairs, lines, returns = _count("\r\n"), _count("\n"), _count("\r")
+    esc = 4 * _count("&") + 3 * _count("<", ">")
+    double = _count('"')
+    quotes = 5 * (double + _count("'"))
+    slashes = double + _count("\\", "\t") + lines + returns
     crlf = lines + returns - 2 * pairs
-    astral = F.length(F.regexp_replace("text", r"[^\x{10000}-\x{10FFFF}]", ""))
-    return dict(zip(ENCODINGS, (n, n + astral, b, n + esc, b + esc, n + esc + quotes, n + slashes, b + slashes, n + crlf, b + crlf, n - pairs)))
+    utf16 = F.octet_length(F.encode("text", "UTF-16BE")) / 2
+    return dict(zip(ENCODINGS, (n, utf16, b, n + esc, b + esc, n + esc + quotes, n + slashes, b + slashes, n + crlf, b + crlf, n - pairs)))
 
 
 def inspected(docs: DataFrame) -> DataFrame:
-    """One row per text that isn't null or blank: its lengths and how it ends."""
-    d = docs.select("doc_id", "source", "text").where(F.col("text").rlike(r"(?U)[^\s]"))
-    d = d.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("text").alias("text_hash"), F.array(*[v.cast("int") for v in lengths().values()]).alias("lens"), F.regexp_replace(F.substring("text", -600, 600), r"(?U)\s+$", "").alias("tail"))
-    bare = F.regexp_replace("tail", rf"(?U)\s*{MARKS}$", "")
-    d = d.withColumn("mark", (F.length(bare) < F.length("tail")) & (bare != "")).withColumn("tail", bare)
-    plain = F.regexp_replace("tail", r"(?U)[\s\p{So}\p{Sk}️‍]+$", "")  # a sentence may be followed by pictures
-    d = d.withColumn("ended", plain.rlike(f"{STOPS}{CLOSERS}*$") & ~plain.rlike(ABBREVIATIONS))
-    last = F.regexp_extract("tail", r"([^\n\r]*)$", 1)
-    d = d.withColumn("last", last).withColumn("before", F.regexp_extract("tail", r"([^\n\r]+)[\n\r]+[^\n\r]*$", 1))
-    first = F.regexp_replace(F.regexp_extract("last", r"^\s*(\S+)", 1), r"(?U)[\d]+|(?<=:)//.*$", "")
-    return d.withColumn("opening", first).withColumn("close", F.lower(F.regexp_extract("last", r"(?U)(\S+\s+\S+\s+\S+)$", 1)))
+    """One row per text that isn't null or blank: its lengths and how it ends. Written once, as all steps read it.
+
+    Only the last 600 characters are searched for the last line; lengths and the hash are those of the whole text.
+    """
+    d = docs.select("doc_id", "source", "text").where(F.trim("text", F.lit(WHITE)) != "")
+    tail = F.translate(F.rtrim(F.substring("text", -600, 600), F.lit(WHITE)), "\r", "\n")
+    d = d.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("text").alias("text_hash"), F.array(*[v.cast("int") for v in lengths().values()]).alias("lens"), tail.alias("full"))
+    end = F.right("full", F.lit(32))
+    bare = F.regexp_replace(end, rf"(?U)\s*{MARKS}$", "")
+    cut = F.length(end) - F.length(bare)
+    d = d.withColumn("cut", cut).withColumn("mark", (F.col("cut") > 0) & (F.col("cut") < F.length("full")))
+    d = d.withColumn("tail", F.when(F.col("mark"), F.rtrim(F.expr("left(full, length(full) - cut)"), F.lit(WHITE))).otherwise(F.col("full"))).drop("full", "cut")
+    plain = F.regexp_replace(F.right("tail", F.lit(32)), r"(?U)[\s\p{So}\p{Sk}\uFE0F\u200D]+$", "")  # a sentence may be followed by pictures
+    d = d.withColumn("plain", plain).withColumn("ended", F.col("plain").rlike(f"{STOPS}{CLOSERS}*$") & ~F.col("plain").rlike(ABBREVIATIONS))
+    d = d.withColumn("last", F.substring_index("tail", "\n", -1))
+    d = d.withColumn("before", F.substring_index(F.rtrim(F.expr("left(tail, length(tail) - length(last))"), F.lit(WHITE)), "\n", -1))
+    first = F.regexp_replace(F.substring_index(F.trim(F.left("last", F.lit(80))), " ", 1), r"(?U)[\d]+|(?<=:)//.*$", "")
+    d = d.withColumn("opening", first).withColumn("close", F.when(F.size(F.split(F.right("last", F.lit(80)), " ")) > 3, F.lower(F.substring_index("last", " ", -3))).otherwise(F.lit("")))
+    name = F.col("before").rlike(r"^[^.!?。]{1,24}[,，]$") & (F.length("last") < 48)
+    only = (F.length("tail") < 80) & (F.col("before") == "") & F.col("last").rlike(r"^(?:[\p{Lu}\p{N}&(\"'#@][^\s]*\s*)+$")
+    trailing = F.right("tail", F.lit(60)).rlike(r"(?:\.\.\.|…)\s*[^.!?。…]{2,40}$")  # an ellipsis at both ends is a manner of speech
+    d = d.select("doc_id", "source", "text_hash", "lens", "mark", "ended", "opening", "close", name.alias("name"), (only | trailing).alias("whole"), F.right("tail", F.length("close") + 40).alias("around"))
+    return stage(d, "endings")
 
 
 def limits(seen: DataFrame, least: int = 3, ratio: float = 6.0, around: int = 24, share: float = 0.02) -> DataFrame:
@@ -91,18 +114,15 @@ def truncated(docs: DataFrame) -> DataFrame:
     """
     seen = inspected(docs)
     lim = limits(seen).groupBy("source").agg(F.collect_list(F.struct("e", "size")).alias("limits"))
-    said = seen.where("not ended and close <> ''").select("close", F.expr("right(tail, length(close) + 40)").alias("around")).distinct().groupBy("close").count().where("count >= 3")
+    said = seen.where("not ended and close <> ''").select("close", "around").distinct().groupBy("close").count().where("count >= 3")
     formula = said.select("close", F.lit(True).alias("formula"))
-    d = seen.join(lim, "source", "left").join(endings(seen), "opening", "left").join(formula, "close", "left")
+    d = seen.where("not ended").join(lim, "source", "left").join(endings(seen), "opening", "left").join(formula, "close", "left")
     byte = [i for i, e in enumerate(ENCODINGS) if e.endswith("utf8")]
     slack = f"if(x.e in ({', '.join(map(str, byte))}), 3, 0)"  # a character cut in two is dropped
     at = F.coalesce(F.expr(f"exists(limits, x -> lens[x.e] between x.size - {slack} and x.size)"), F.lit(False))
-    name = F.col("before").rlike(r"^[^.!?。]{1,24}[,，]$") & (F.length("last") < 48)
-    bare = (F.length("tail") < 80) & (F.col("before") == "") & F.col("last").rlike(r"^(?:[\p{Lu}\p{N}&(\"'#@][^\s]*\s*)+$")
-    trailing = F.col("tail").rlike(r"(?:\.\.\.|…)\s*[^.!?。…]{2,40}$")  # an ellipsis at both ends is a manner of speech
     no = lambda c: ~F.coalesce(c, F.lit(False))
-    open_ = ~F.col("ended") & no(F.col("usual")) & no(name)
-    why = F.when(at & open_, "limit").when(open_ & no(F.col("formula")) & ~bare & ~trailing, F.when(F.col("mark"), "mark").otherwise("ending"))
+    open_ = ~F.col("ended") & no(F.col("usual")) & no(F.col("name"))
+    why = F.when(at & open_, "limit").when(open_ & no(F.col("formula")) & no(F.col("whole")), F.when(F.col("mark"), "mark").otherwise("ending"))
     return d.withColumn("why", why).where("why is not null").select("doc_id", "source", "why")
 
 
