@@ -79,7 +79,7 @@ def jaro(a: str, b: str) -> float:
     if not hits:
         return 0.0
     other = [c for j, c in enumerate(b) if used[j]]
-    m, t = len(hits), sum(x != y for x, y in zip(hits, other)) / 2
+    m, t = len(hits), sum(x != y for x, y in zip(hits, other)) // 2
     return (m / len(a) + m / len(b) + (m - t) / m) / 3
 
 
