@@ -141,14 +141,14 @@ class History:
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or f"{shared_dir(spark)}/ledgraph/history-{uuid.uuid4().hex}"
-        self.schema = CHUNKS.replace("first string", "label string")
+        self.schema = CHUNKS.replace("first string", "label string") + ", batch long"
         self.parts = 0
 
     def table(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/part={i}" for i in range(self.parts)])
 
     def append(self, rows: DataFrame) -> None:
-        rows.select("type", "form", "label", "key", "bytes", "total", "seed").write.mode("overwrite").parquet(f"{self.path}/part={self.parts}")
+        rows.select("type", "form", "label", "key", "bytes", "total", "seed", "batch").write.mode("overwrite").parquet(f"{self.path}/part={self.parts}")
         self.parts += 1
 
     def accept_entities(self, entities: DataFrame) -> None:
@@ -156,17 +156,21 @@ class History:
         names = entities.where("canon_id is not null and type is not null").select(F.col("canon_id").alias("id"), "type", F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("text"))
         rows = names.where("text is not null").select("id", F.lit(0).cast("long").alias("b"), "type", "text")
         forms = rows.mapInArrow(*_table("id string, b long, type string, form string", _forms)).groupBy("type", "form").agg(F.min("id").alias("first"))
-        self.append(forms.mapInArrow(*_table(CHUNKS, _chunk_rows)).withColumn("label", F.concat(F.lit("0|"), "first")))
+        self.append(forms.mapInArrow(*_table(CHUNKS, _chunk_rows)).withColumn("label", F.concat(F.lit("0|"), "first")).withColumn("batch", F.lit(None).cast("long")))
 
-    def check(self, batch: DataFrame) -> DataFrame:
-        """(type, form, label) of the forms (id, type, form) of one batch; its chunks are appended.
+    def labels(self) -> DataFrame:
+        """(b, type, form, label) of every batch checked so far."""
+        return self.table().where("batch is not null").select(F.col("batch").alias("b"), "type", "form", "label").distinct()
+
+    def check(self, batch: DataFrame, number: int) -> None:
+        """Label the forms (id, type, form) of one batch; its chunks are appended.
 
         Copies of a form are one row from here on. Only a form's rarest chunks are looked up: those it leaves out
         hold less than COVER of its bytes, so no record that shares COVER of them is missed, while a chunk that
         very many records hold is not followed.
         """
-        forms = batch.groupBy("type", "form").agg(F.min("id").alias("first"))
-        own = stage(forms.mapInArrow(*_table(CHUNKS, _chunk_rows)), "chunks")
+        firsts = batch.groupBy("type", "form").agg(F.min("id").alias("first"))
+        own = stage(firsts.mapInArrow(*_table(CHUNKS, _chunk_rows)), "chunks")
         node = F.concat_ws("|", F.lit("2"), "type", "form")
         records = own.select("type", "key", "form", node.alias("label"))
         if self.parts:
@@ -175,18 +179,14 @@ class History:
         ranked = own.join(common, ["type", "key"])
         w = W.partitionBy("type", "form", "seed").orderBy(F.col("df").desc(), F.col("key"))
         rare = ranked.withColumn("held", F.sum("bytes").over(w.rowsBetween(W.unboundedPreceding, 0))).where(F.col("held") >= COVER * F.col("total")).select("type", "key", "form")
-        pairs = rare.join(records.withColumnRenamed("form", "other"), ["type", "key"]).select("type", "form", "other", "label").distinct()
-        pairs = pairs.where(F.col("label") != node)
-        links = stage(pairs.mapInArrow(*_table("type string, form string, label string", _verify)), "links")
+        pairs = rare.join(records.withColumnRenamed("form", "other"), ["type", "key"]).where(F.col("label") != node).select("type", "form", "other", "label").distinct()
+        links = pairs.mapInArrow(*_table("type string, form string, label string", _verify))
         groups = connected_groups(links.select(node.alias("a"), F.col("label").alias("b")))
         named = groups.where("member like '2|%'").withColumnRenamed("member", "node")
-        got = forms.withColumn("node", node).join(named, "node", "left")
-        lone = F.coalesce("group_id", "node")
-        firsts = got.groupBy(lone.alias("g")).agg(F.min("first").alias("f"))
-        label = F.when(F.col("g").startswith("2|"), F.concat(F.lit("1|"), "f")).otherwise(F.col("g"))
-        out = stage(got.withColumn("g", lone).join(firsts.select("g", "f"), "g").select("type", "form", label.alias("label")), "labels")
-        self.append(own.join(out, ["type", "form"]))
-        return out
+        rows = own.withColumn("node", node).join(named, "node", "left").withColumn("g", F.coalesce("group_id", "node"))
+        lone = rows.where("g like '2|%'").groupBy("g").agg(F.min("first").alias("f"))
+        rows = rows.join(lone, "g", "left").withColumn("label", F.coalesce(F.concat(F.lit("1|"), "f"), "g"))
+        self.append(rows.withColumn("batch", F.lit(number).cast("long")))
 
 
 def repeats(incoming: DataFrame, entities: DataFrame) -> DataFrame:
@@ -203,12 +203,7 @@ def repeats(incoming: DataFrame, entities: DataFrame) -> DataFrame:
         F.col("mention_id").alias("id"), F.coalesce(F.col("batch_no").cast("long"), F.lit(2**31)).alias("b"), "type", "text"
     )
     forms = stage(rows.mapInArrow(*_table("id string, b long, type string, form string", _forms)), "forms")
-    found = None
     for (no,) in sorted(forms.select("b").distinct().collect()):
-        batch = forms.where(F.col("b") == no)
-        got = batch.join(history.check(batch.select("id", "type", "form")), ["type", "form"]).select(F.substring("label", 3, 1_000_000).alias("first_id"), F.col("id").alias("mention_id"))
-        got = got.where("first_id <> mention_id")
-        found = got if found is None else found.unionByName(got)
-    if found is None:
-        return forms.select(F.col("id").alias("first_id"), F.col("id").alias("mention_id")).where("false")
-    return found.distinct()
+        history.check(forms.where(F.col("b") == no).select("id", "type", "form"), no)
+    got = forms.join(history.labels(), ["b", "type", "form"]).select(F.substring("label", 3, 1_000_000).alias("first_id"), F.col("id").alias("mention_id"))
+    return got.where("first_id <> mention_id").distinct()
