@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,18 +39,21 @@ def form_of(kind: str, text: str) -> str:
     return " ".join(got)
 
 
+@lru_cache(100_000)
 def number_of(form: str) -> str:
     """The numbers of a name in order of size, each with a letter that belongs to it."""
     found = re.findall(r"(\d+)([^\W\d_]*)", form)
     return " ".join(sorted(n + (x if len(x) == 1 else "") for n, x in found))
 
 
+@lru_cache(100_000)
 def bare_of(form: str) -> list[str]:
     """The words of a form without its numbers."""
     out = [re.sub(r"\d+[^\W\d_]$|\d+", "", w) for w in form.split()]
     return [w for w in out if w]
 
 
+@lru_cache(100_000)
 def chunks(form: str) -> list[tuple[int, str]]:
     """(seed, chunk) by each seed's boundaries over the letters of the form."""
     text = "".join(bare_of(form))
@@ -129,7 +133,7 @@ CHUNKS = "type string, form string, first string, key string, bytes long, total
 
 def _verify(kinds, forms, others, labels):
     for k, f, o, lab in zip(kinds, forms, others, labels):
-        if f == o or ((coverage(f, o) >= COVER or coverage(o, f) >= COVER or not bare_of(f)) and same(f, o)):
+        if f == o or (same(f, o) and (not bare_of(f) or coverage(f, o) >= COVER or coverage(o, f) >= COVER)):
             yield k, f, lab
 
 
