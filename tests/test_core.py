@@ -114,3 +114,34 @@ def test_every_query_has_a_callable_and_the_entry_runs(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).limit(1).count() == 1
     assert F is not None
+
+
+def test_graph_files_and_ontology(spark, tmp_path):
+    from ledgraph.sources import graphs
+
+    e = spark.createDataFrame([("company:a", "company", "A's", ["x"]), ("person:b", "person", "B", None)], "canon_id string, type string, canonical string, aliases array<string>")
+    r = spark.createDataFrame([("person:b", "works_at", "company:a", 0.9, 2)], "head string, type string, tail string, confidence double, support long")
+    graphs.write_graph(e, r, str(tmp_path / "g"))
+    back, edges = graphs.read_graph(spark, str(tmp_path / "g"))
+    assert back.count() == 2 and edges.first().tail == "company:a"
+    assert "A\\'s" in " ".join(x.line for x in graphs.cypher(e, r).collect())
+    once = graphs.upsert(r, r, ["head", "type", "tail"])
+    assert once.count() == 1 and graphs.broken_keys(once, ["head", "type", "tail"]).count() == 0
+    graphs.write_csv(e, str(tmp_path / "c"))
+    bad = '{"entities": [{"name": "a"}], "relations": [{"name": "r", "head": ["a"], "tail": ["b"]}]}'
+    with pytest.raises(ValueError, match="isn't declared"):
+        graphs.read_ontology(spark, bad)
+    _, _, pat = graphs.read_ontology(spark, bad.replace('"b"', '"a"'))
+    assert graphs.mermaid(pat).first().diagram == "graph LR\n  a -->|r| a"
+
+
+def test_stream_of_facts(spark, tmp_path):
+    from ledgraph.streaming.facts import value_changes
+
+    rows = [("1", "a", "r", "x", T(0), T(0), None, None), ("2", "a", "r", "x", T(1), T(1), None, None), ("3", "a", "r", "y", T(2), T(2), None, None)]
+    spark.createDataFrame(rows, FACTS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(FACTS).parquet(str(tmp_path / "in"))
+    q = value_changes(s).writeStream.format("memory").queryName("changes").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [(r.tail, r.replaced) for r in spark.sql("select * from changes order by valid_from").collect()] == [("x", None), ("y", "1")]
