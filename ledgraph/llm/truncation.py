@@ -2,7 +2,8 @@
 
 Lengths are recomputed under the encodings a store may have counted in; a length at which far more different texts
 of a source end than around it, most of them unended, is a hidden limit. The endings are then inspected: of texts
-at a limit, of texts with a cutter's mark, and of all others against how last lines of their kind usually end.
+at a limit, of texts with a cutter's mark, and of all others against how last lines of their kind usually end, which
+is learned from texts that aren't at a limit.
 """
 
 from __future__ import annotations
@@ -63,7 +64,8 @@ def inspected(docs: DataFrame) -> DataFrame:
     d = d.withColumn("plain", plain).withColumn("ended", F.col("plain").rlike(f"{STOPS}{CLOSERS}*$") & ~F.col("plain").rlike(ABBREVIATIONS))
     d = d.withColumn("last", F.substring_index("tail", "\n", -1))
     d = d.withColumn("before", F.substring_index(F.rtrim(F.expr("left(tail, length(tail) - length(last))"), F.lit(WHITE)), "\n", -1))
-    first = F.regexp_replace(F.substring_index(F.trim(F.left("last", F.lit(80))), " ", 1), r"(?U)[\d]+|(?<=:)//.*$", "")
+    said = F.regexp_replace(F.left("last", F.lit(80)), r"^\s*(?:>\s*)+", "")  # a quoted line is of the kind of what it quotes
+    first = F.regexp_replace(F.substring_index(F.trim(said), " ", 1), r"(?U)[\d]+|(?<=:)//.*$", "")
     d = d.withColumn("opening", first).withColumn("close", F.when(F.size(F.split(F.right("last", F.lit(80)), " ")) > 3, F.lower(F.substring_index("last", " ", -3))).otherwise(F.lit("")))
     name = F.col("before").rlike(r"^[^.!?。]{1,24}[,，]$") & (F.length("last") < 48)
     only = (F.length("tail") < 80) & (F.col("before") == "") & F.col("last").rlike(r"^(?:[\p{Lu}\p{N}&(\"'#@][^\s]*\s*)+$")
@@ -91,14 +93,24 @@ def limits(seen: DataFrame, least: int = 3, ratio: float = 6.0, around: int = 24
     return ok.join(top, "source").where(F.col("n") == F.col("top")).select("source", "e", "size", "n")
 
 
+def at_limits(seen: DataFrame) -> DataFrame:
+    """`seen` with `at`: whether the text has the size of a hidden limit of its source."""
+    lim = limits(seen).groupBy("source").agg(F.collect_list(F.struct("e", "size")).alias("limits"))
+    byte = [i for i, e in enumerate(ENCODINGS) if e.endswith("utf8")]
+    slack = f"if(x.e in ({', '.join(map(str, byte))}), 3, 0)"  # a character cut in two is dropped
+    at = F.coalesce(F.expr(f"exists(limits, x -> lens[x.e] between x.size - {slack} and x.size)"), F.lit(False))
+    return seen.join(stage(lim, "limits"), "source", "left").withColumn("at", at).drop("limits")
+
+
 def endings(seen: DataFrame) -> DataFrame:
     """(opening, usual): whether last lines that begin like this usually stop without a full stop.
 
-    The share of unended ones among all last lines with that first word, drawn to what the shape suggests while
-    there are few: lists, headings, signatures, links and labels tend to stop so, prose doesn't.
+    The share of unended ones among the last lines with that first word of texts that aren't at a limit (`at`), drawn
+    to what the shape suggests while there are few: lists, headings, signatures, links and labels tend to stop so,
+    prose doesn't.
     """
-    shape = F.when(F.col("opening").rlike(r"^(?:[-*•–—#>|]+|https?:)$"), 0.9).when(F.col("opening").rlike(r"^\p{L}+:$"), 0.5).otherwise(0.1)
-    one = seen.where("not mark").groupBy("opening", "text_hash").agg(F.max(F.col("ended").cast("int")).alias("e"))
+    shape = F.when(F.col("opening").rlike(r"^(?:[-*•–—#|]+|https?:)$"), 0.9).when(F.col("opening").rlike(r"^\p{L}+:$"), 0.5).otherwise(0.1)
+    one = seen.where("not mark and not at").groupBy("opening", "text_hash").agg(F.max(F.col("ended").cast("int")).alias("e"))
     n = one.groupBy("opening").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("e")).alias("u"))
     return n.select("opening", ((F.col("u") + 4 * shape) / (F.col("n") + 4) >= 0.5).alias("usual"))
 
@@ -112,17 +124,13 @@ def truncated(docs: DataFrame) -> DataFrame:
     text is but a name, or its last words are a formula that follows three or more different sentences. Why: `limit`
     (it has the size of a hidden limit), `mark` (a cutter's mark is at its end), else `ending`.
     """
-    seen = inspected(docs)
-    lim = limits(seen).groupBy("source").agg(F.collect_list(F.struct("e", "size")).alias("limits"))
+    seen = at_limits(inspected(docs))
     said = seen.where("not ended and close <> ''").select("close", "around").distinct().groupBy("close").count().where("count >= 3")
     formula = said.select("close", F.lit(True).alias("formula"))
-    d = seen.where("not ended").join(lim, "source", "left").join(endings(seen), "opening", "left").join(formula, "close", "left")
-    byte = [i for i, e in enumerate(ENCODINGS) if e.endswith("utf8")]
-    slack = f"if(x.e in ({', '.join(map(str, byte))}), 3, 0)"  # a character cut in two is dropped
-    at = F.coalesce(F.expr(f"exists(limits, x -> lens[x.e] between x.size - {slack} and x.size)"), F.lit(False))
+    d = seen.where("not ended").join(endings(seen), "opening", "left").join(formula, "close", "left")
     no = lambda c: ~F.coalesce(c, F.lit(False))
     open_ = ~F.col("ended") & no(F.col("usual")) & no(F.col("name"))
-    why = F.when(at & open_, "limit").when(open_ & no(F.col("formula")) & no(F.col("whole")), F.when(F.col("mark"), "mark").otherwise("ending"))
+    why = F.when(F.col("at") & open_, "limit").when(open_ & no(F.col("formula")) & no(F.col("whole")), F.when(F.col("mark"), "mark").otherwise("ending"))
     return d.withColumn("why", why).where("why is not null").select("doc_id", "source", "why")
 
 

@@ -108,6 +108,18 @@ def test_truncation_finds_a_limit_and_endings(spark):
     assert sum(r.n_docs for r in truncation.share_by_source(df).collect()) == len(rows)
 
 
+def test_truncation_at_a_limit_outweighs_how_the_last_line_begins(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 9)))
+    body = lambda n: (" ".join(word() for _ in range(400)))[:n]
+    rows = [(i, "s", body(100)) for i in range(12)] + [(20 + i, "s", (body(40) + ".\n> " + body(90))[:100]) for i in range(6)] + [(30 + i, "s", (body(40) + ".\nx " + body(90))[:100]) for i in range(6)]
+    rows += [(40 + i, "t", body(50 + 7 * i) + ".\nSent from my " + word()) for i in range(12)] + [(60, "s", body(79) + ".\nSent from my Nabede")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert len(rows[-1][2]) == 100
+    got = {r.doc_id: r.why for r in truncation.truncated(df).collect()}
+    assert got == {i: "limit" for i in (*range(12), *range(20, 26), *range(30, 36))}
+
+
 def test_names_are_attributed_and_strangers_are_not(spark):
     ents = spark.createDataFrame([("person:ann", "person", "Elizabeth Fizigupo", ["Beth Fizigupo"]), ("organization:h", "organization", "Hopo Hafoki Hotels Co.", None), ("person:n", "person", None, None)], "canon_id string, type string, canonical string, aliases array<string>")
     names = ["Elizabeth Fizigupo", "Fizigupo, Elizabeth", "E. Fizigupo", "Elizabeht Fizigupo", "beth.fizigupo", "FIZIGUPO, E.", "Robert Zanatoko", None, "", "🙏"]
