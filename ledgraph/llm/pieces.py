@@ -18,12 +18,13 @@ _ATOM = re.compile(f"[{SPACE}]|[^{SPACE}{MARKS}]*[{MARKS}]|[^{SPACE}{MARKS}]+")
 _BREAK = re.compile(f"(?:\r\n|[\n\r\x0b\x0c\x85  ])[{SPACE}]*|(?<=[.!?])[{SPACE}]+|(?<=[.!?][\"')\\]»”’])[{SPACE}]+|(?<=[{MARKS}])[{SPACE}]*")
 
 
-def atoms(text: str, limit: int) -> tuple[list[int], list[int], bool]:
-    """Starts of the atoms, the strength of the boundary before each, and whether a cut had to be forced.
+def atoms(text: str, limit: int, overlap: int = 0) -> tuple[list[int], list[int], bool]:
+    """Starts of the atoms, the strength of the boundary before each, and whether a word is longer than `limit`.
 
-    Strengths: 4 blank line, 3 line, 2 sentence, 1 word, 0 none. Sentences over `limit` fall apart into words,
-    words over `limit` into stretches of `limit`.
+    Strengths: 4 blank line, 3 line, 2 sentence, 1 word, 0 none. An atom leaves room for the overlap in its piece
+    (the first one needs none): longer sentences fall apart into words, longer words into stretches.
     """
+    room = lambda at: limit - (overlap if at else 0)
     cuts, forced = [(0, 4)], False
     for m in _BREAK.finditer(text):
         if 0 < m.end() < len(text):
@@ -35,29 +36,29 @@ def atoms(text: str, limit: int) -> tuple[list[int], list[int], bool]:
             continue
         starts.append(lo)
         strength.append(s)
-        if hi - lo <= limit:
+        if hi - lo <= room(lo):
             continue
         for w in _ATOM.finditer(text, lo, hi):
             a, b = w.span()
             if a > lo:
                 starts.append(a)
                 strength.append(1)
-            if b - a > limit:
-                forced = True
-                for x in range(a + limit, b, limit):
-                    starts.append(x)
-                    strength.append(0)
+            forced = forced or b - a > limit
+            for x in range(a + room(a), b, limit - overlap):
+                starts.append(x)
+                strength.append(0)
     return starts, strength, forced
 
 
 def pieces(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int, int]], bool]:
-    """(start, first new character, end) of each piece in order, and whether a cut had to be forced.
+    """(start, first new character, end) of each piece in order, and whether a word is longer than `limit`.
 
     Adjacent runs of atoms wait in a heap by the strength of the boundary between them, then by their common size;
     the weakest boundary goes first while both runs and the overlap fit in `limit`. A piece after the first begins
-    about `overlap` characters before its first new one, at a natural boundary where there is one near.
+    about `overlap` characters (three quarters at least) before its first new one, at a natural boundary where there
+    is one near, or with all of the piece before if that is shorter. So a word of more than `limit - overlap` is cut.
     """
-    starts, strength, forced = atoms(text, limit)
+    starts, strength, forced = atoms(text, limit, overlap)
     n = len(starts)
     ends = [*starts[1:], len(text)]
     nxt, prv, end, alive, stamp = [*range(1, n), -1], list(range(-1, n - 1)), ends, [True] * n, [0] * n
@@ -88,7 +89,7 @@ def pieces(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int, in
         lo, hi = starts[i], end[i]
         begin = lo
         if lo:
-            begin = max(lo - min(overlap, limit - (hi - lo)), out[-1][0])
+            begin = max(lo - overlap, out[-1][0])
             window = [m.end() for m in _ATOM.finditer(text, begin, lo) if m.end() - begin <= overlap // 4]
             if begin and window:
                 begin = window[0] if text[begin - 1] not in " \n" else begin

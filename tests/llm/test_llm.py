@@ -61,6 +61,17 @@ def test_pieces_join_up_and_keep_the_limit():
         assert forced == (max(map(len, runs)) > 50)
 
 
+@pytest.mark.parametrize("size", [30, 44, 60, 200])
+def test_every_piece_begins_with_the_overlap(size):
+    rnd = random.Random(7)
+    for _ in range(100):
+        text = "".join(rnd.choice(["word ", "x" * size, "y" * rnd.randint(1, size) + " ", "a b c " * (size // 6) + ". ", "\n\n"]) for _ in range(rnd.randint(4, 60)))
+        got, _ = pieces.pieces(text, 50, 12)
+        assert "".join(text[b:c] for _, b, c in got) == text and all(c - a <= 50 for a, _, c in got)
+        for (a, _, c), (begin, new, _) in zip(got, got[1:]):
+            assert new == c and min(9, c - a) <= new - begin <= 12
+
+
 def test_pieces_of_small_null_and_empty_items(spark):
     df = spark.createDataFrame([("document", "1", None, 5, 1), ("document", "2", "", 5, 1), ("document", "3", "abcdefgh", 5, 1), ("document", "4", "abc", 5, 1)], "item_kind string, item_id string, text string, max_chars int, overlap_chars int")
     rows = pieces.split_items(df).collect()
