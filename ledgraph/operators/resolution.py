@@ -46,11 +46,20 @@ def candidate_pairs(keys: DataFrame, most: int = 60, spare: str = "exact") -> Da
     return pairs.unionByName(chain).groupBy("a", "b", "type").agg(F.min_by("block", rank).alias("block"))
 
 
-def or_blocking(df: DataFrame, id_col: str, keys: list[Column], most: int = 60) -> DataFrame:
-    """Pairs (a, b) that agree on any of `keys`, a union of equi-joins; keys with more than `most` rows are left out."""
+def or_blocking(df: DataFrame, id_col: str, keys: list[Column], per: int = 1000) -> DataFrame:
+    """Pairs (a, b), a < b, that agree on any of `keys`: a union of equi-joins, without a limit to a key's rows.
+
+    A key of more than `per` rows is split into groups of about `per` by the hash of the id, and each two of its
+    groups, and each with itself, meet in a cell of their own, so that no task holds all pairs of a large key.
+    """
     cells = df.select(F.col(id_col).alias("id"), F.posexplode(F.array(*[k.cast("string") for k in keys])).alias("rule", "value")).where("value is not null")
-    cells = cells.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("rule", "value"))).where(F.col("n").between(2, most)).drop("n")
-    return cells.withColumnRenamed("id", "a").join(cells.withColumnRenamed("id", "b"), ["rule", "value"]).where("a < b").select("a", "b").distinct()
+    large = cells.groupBy("rule", "value").agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias("s")).where("s > 1")
+    cells = cells.join(F.broadcast(large), ["rule", "value"], "left").withColumn("s", F.coalesce("s", F.lit(1)))  # at most a row for each `per` cells
+    cells = cells.withColumn("g", F.expr("cast(pmod(xxhash64(id), s) as int)"))
+    l = cells.select("rule", "value", F.col("id").alias("x"), F.col("g").alias("i"), F.explode(F.expr("sequence(g, s - 1)")).alias("j"))
+    r = cells.select("rule", "value", F.col("id").alias("y"), F.col("g").alias("j"), F.explode(F.expr("sequence(0, g)")).alias("i"))
+    met = l.join(r, ["rule", "value", "i", "j"]).where("i < j or x < y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def score_pairs(pairs: DataFrame, forms: DataFrame, embed: DataFrame | None = None, w_fuzz: float = 0.45, w_embed: float = 0.40, w_context: float = 0.15, min_entropy: float = 2.5, penalty: float = 0.25) -> DataFrame:

@@ -145,3 +145,12 @@ def test_stream_of_facts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.tail, r.replaced) for r in spark.sql("select * from changes order by valid_from").collect()] == [("x", None), ("y", "1")]
+
+
+@pytest.mark.parametrize("per", [7, 1000])
+def test_or_blocking_gives_all_pairs_of_large_keys(spark, per):
+    rows = [(i, "big" if i % 3 else None, i // 2) for i in range(200)]
+    df = spark.createDataFrame(rows + rows[:5], "id long, k1 string, k2 int")
+    got = resolution.or_blocking(df, "id", [F.col("k1"), F.col("k2")], **({"per": per} if per < 1000 else {})).collect()
+    want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and (x[1] and x[1] == y[1] or x[2] == y[2])}
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
