@@ -140,8 +140,8 @@ SELECT x.canon_id AS a, y.canon_id AS b, round(jaro_winkler_similarity(x.n, y.n)
 def name_similarity(spark, d):
     from ledgraph.functions.similarity import UDFS
 
-    e = table(spark, d, "entities").where("canonical rlike '^[ -~]+\\\\z'").select("canon_id", "type", F.lower("canonical").alias("n")).distinct()
-    p = resolution.or_blocking(e.withColumn("k", F.concat_ws("|", "type", F.split("n", " ")[0])), "canon_id", [F.col("k")])
+    e = table(spark, d, "entities").where("canonical is not null").select("canon_id", "type", F.lower("canonical").alias("n")).distinct()
+    p = resolution.or_blocking(e.withColumn("k", F.concat("type", F.lit("|"), F.split("n", " ")[0])), "canon_id", [F.col("k")])
     n = e.select("canon_id", "n")
     j = p.join(n.select(F.col("canon_id").alias("a"), F.col("n").alias("x")), "a").join(n.select(F.col("canon_id").alias("b"), F.col("n").alias("y")), "b")
     return j.select("a", "b", F.round(UDFS["jaro_winkler"]("x", "y"), 6).alias("jw"), F.levenshtein("x", "y").alias("lev"))
@@ -371,7 +371,7 @@ def knn_join(spark, d):
 @query("""WITH e AS (SELECT DISTINCT record_id, type, lower(trim(canonical)) AS n, lower(located_in) AS l, source AS s, canon_id FROM entity_records WHERE regexp_full_match(canonical, '[ -~]+')), p AS (SELECT x.record_id AS a, y.record_id AS b, x.n AS xn, y.n AS yn, x.l AS xl, y.l AS yl, x.s AS xs, y.s AS ys FROM e x JOIN e y ON x.canon_id = y.canon_id AND x.record_id < y.record_id)
 SELECT a, b, round(CASE WHEN xn = yn THEN log2(0.9 / 0.01) WHEN levenshtein(xn, yn) <= 3 THEN log2(0.08 / 0.02) ELSE log2(0.02 / 0.97) END + CASE WHEN xl = yl THEN log2(0.7 / 0.1) WHEN xl IS NOT NULL AND yl IS NOT NULL THEN log2(0.3 / 0.9) ELSE 0 END, 6) AS match_weight FROM p""")
 def fellegi_sunter_fixed(spark, d):
-    e = table(spark, d, "entity_records").where("canonical rlike '^[ -~]+\\\\z'").select("record_id", "canon_id", F.lower(F.trim("canonical")).alias("n"), F.lower("located_in").alias("l")).distinct()
+    e = table(spark, d, "entity_records").select("record_id", "canon_id", F.lower(F.trim("canonical")).alias("n"), F.lower("located_in").alias("l")).distinct()
     x, y = e.select(F.col("record_id").alias("a"), "canon_id", F.col("n").alias("xn"), F.col("l").alias("xl")), e.select(F.col("record_id").alias("b"), "canon_id", F.col("n").alias("yn"), F.col("l").alias("yl"))
     p = x.join(y, "canon_id").where("a < b")
     c = F.col

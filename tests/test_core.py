@@ -154,3 +154,35 @@ def test_or_blocking_gives_all_pairs_of_large_keys(spark, per):
     got = resolution.or_blocking(df, "id", [F.col("k1"), F.col("k2")], **({"per": per} if per < 1000 else {})).collect()
     want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and (x[1] and x[1] == y[1] or x[2] == y[2])}
     assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+
+
+def _edits(x, y):
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        row, old = [i], row
+        for j, e in enumerate(y, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (c != e)))
+    return row[-1]
+
+
+def test_names_of_any_script_are_compared(spark, tmp_path):
+    from math import log2
+
+    from ledgraph.plans import graph_queries
+
+    names_ = ["Zoë Müller", "Zoe Muller", "Łukasz Żak", "日本 商事", "日本 商会", None, "Zoë Mülers", ""]
+    rows = [(i, "c", n, "X" if i % 2 else None) for i, n in enumerate(names_)]
+    spark.createDataFrame(rows + rows[:2], "record_id long, canon_id string, canonical string, located_in string").write.parquet(f"{tmp_path}/entity_records.parquet")
+    got = {(r.a, r.b): r.match_weight for r in graph_queries.fellegi_sunter_fixed(spark, str(tmp_path)).collect()}
+    want = {}
+    for i, _, x, l in rows:
+        for j, _, y, m in rows[i + 1 :]:
+            known = x is not None and y is not None
+            name = log2(0.9 / 0.01) if known and x == y else log2(0.08 / 0.02) if known and _edits(x.lower(), y.lower()) <= 3 else log2(0.02 / 0.97)
+            want[i, j] = round(name + (log2(0.7 / 0.1) if l and m else 0), 6)
+    assert got == want
+    rows = [(f"e{i}", "person" if i < 7 else None, n) for i, n in enumerate(names_)]
+    spark.createDataFrame(rows, "canon_id string, type string, canonical string").write.parquet(f"{tmp_path}/entities.parquet")
+    got = {(r.a, r.b): (r.jw, r.lev) for r in graph_queries.name_similarity(spark, str(tmp_path)).collect()}
+    both = lambda x, y: (round(similarity.jaro_winkler(x, y), 6), _edits(x, y))
+    assert got == {("e0", "e6"): both("zoë müller", "zoë mülers"), ("e3", "e4"): both("日本 商事", "日本 商会")}
