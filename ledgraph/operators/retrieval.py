@@ -39,7 +39,7 @@ def bm25(index: DataFrame, docs_n: DataFrame, queries: DataFrame, k: int, k1: fl
     s = hit.join(df, "term").join(docs_n).join(q, "term")  # docs_n is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    t = s.groupBy("query_id", "id").agg(F.sum(w).alias("score"))
+    t = s.groupBy("query_id", "id").agg(F.round(F.sum(w), 9).alias("score"))  # copies are equal in whatever order it was summed
     return t.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))).where(F.col("rank") <= k)
 
 

@@ -186,3 +186,28 @@ def test_names_of_any_script_are_compared(spark, tmp_path):
     got = {(r.a, r.b): (r.jw, r.lev) for r in graph_queries.name_similarity(spark, str(tmp_path)).collect()}
     both = lambda x, y: (round(similarity.jaro_winkler(x, y), 6), _edits(x, y))
     assert got == {("e0", "e6"): both("zoë müller", "zoë mülers"), ("e3", "e4"): both("日本 商事", "日本 商会")}
+
+
+def test_word_search_asks_every_twentieth_document(spark, tmp_path):
+    from collections import Counter
+    from math import log
+
+    from ledgraph.plans import text_queries
+
+    rnd = random.Random(8)
+    word = lambda: rnd.choice("dock rail fare desk quota label port crew hull mast".split())
+    docs = [(i, rnd.choice([None, " ", word(), f"{word()} {word()}"]), rnd.choice([None, " ".join(word() for _ in range(rnd.randint(0, 9)))])) for i in range(1, 121)]
+    spark.createDataFrame(docs, "doc_id long, title string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    vecs = [(i, [float(rnd.randint(1, 9)), float(rnd.randint(1, 9))]) for i in range(0, 110, 5)]
+    spark.createDataFrame(vecs, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    ts = {i: f"{t or ''} {x or ''}".split() for i, t, x in docs}
+    ts = {i: x for i, x in ts.items() if x}
+    df, mean, want = Counter(w for x in ts.values() for w in set(x)), sum(map(len, ts.values())) / len(ts), {}
+    for q, t, x in docs:
+        if q % 20 == 0:
+            terms = set(((t or "").strip() or x or "").split())
+            score = {i: round(sum(log(1 + (len(ts) - df[w] + 0.5) / (df[w] + 0.5)) * b.count(w) * 2.2 / (b.count(w) + 1.2 * (0.25 + 0.75 * len(b) / mean)) for w in terms if w in b), 9) for i, b in ts.items() if terms & set(b)}
+            want |= {(q, k): (i, round(score[i], 5)) for k, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:10], 1)}
+    got = {(r.query_id, r["rank"]): (r.id, r.score) for r in text_queries.bm25_topk(spark, str(tmp_path)).collect()}
+    assert len({q for q, _ in want}) >= 4 and got == want
+    assert {r.query_id for r in text_queries.hybrid_topk(spark, str(tmp_path)).collect()} == {q for q, _ in want} | {i for i, _ in vecs if i % 20 == 0}
