@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgraph.functions.names import ORG_TYPES, PERSON_TYPES, is_acronym_of
 from ledgraph.functions.similarity import UDFS
+from ledgraph.operators.components import connected_groups
 from ledgraph.sources.tables import stage
 
 #: The order in which a pair's block is named.
@@ -103,30 +104,9 @@ def score_pairs(pairs: DataFrame, forms: DataFrame, embed: DataFrame | None = No
     return done.unionByName(rest)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component) of every end of edges (a, b); the component is its smallest id. Loops and null ends are left out.
-
-    Alternating large-star and small-star steps; each is a shuffle on one end with a map-side minimum, and its edges
-    are written to the shared folder. A node's neighbours are never gathered, so a star of any size is no hot task.
-    """
-    a, b = edges.columns[:2]
-    e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).distinct()
-    e = stage(e, "edges")
-    nodes = e.select("u").unionByName(e.select(F.col("v").alias("u"))).distinct()
-    before = None
-    for _ in range(rounds):
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = stage(small.distinct(), "edges")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    got = e.groupBy("u").agg(F.min("v").alias("c"))
-    return nodes.join(got, "u", "left").select(F.col("u").alias("id"), F.least("u", F.coalesce("c", "u")).alias("component"))
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of every end of edges (a, b); the component is its smallest id. Loops and null ends are left out."""
+    return connected_groups(edges.select(*[F.col(c).cast("string") for c in edges.columns[:2]])).select(F.col("member").alias("id"), F.col("group_id").alias("component"))
 
 
 def canonical_entities(members: DataFrame) -> DataFrame:
