@@ -1,8 +1,10 @@
 """Deduplicating new batches against all history by content-defined chunks.
 
 A rolling hash over the letters of a name sets chunk boundaries, so an edit changes the chunks around it only. A
-persistent table maps chunk hashes to the records that hold them. A new batch looks its own chunks up in that table,
-records that share enough bytes are held against it word by word, and the chunks of the batch are appended.
+persistent table maps chunk keys to the records that hold them, another counts them, a third holds the records. A new
+batch looks its own keys up in the counts, follows the rare ones to the records that share them, and decides by the
+share of bytes in common chunks, which an exact check of the words follows. Its records, chunks and counts are added
+as one more part; nothing that was written before is touched.
 """
 
 from __future__ import annotations
@@ -11,18 +13,19 @@ import re
 import uuid
 from functools import lru_cache
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgraph.llm.arrow import rows
 from ledgraph.llm.folding import within, words
-from ledgraph.llm.groups import connected_groups
-from ledgraph.llm.variants import _table
-from ledgraph.sources.tables import shared_dir, stage
+from ledgraph.operators.components import connected_groups
+from ledgraph.sources.tables import filesystem, listing, shared_dir, stage
 
-SEEDS, LEAST, MOST, MASK = (31, 57, 101, 211), 3, 12, 3
-COVER = 0.2
+#: Boundaries are set once for each seed; a chunk has LEAST to MOST letters, and one in ONE_IN letters ends one.
+SEEDS, LEAST, MOST, ONE_IN, WINDOW = (31, 57, 101, 211, 17, 73, 131, 257), 3, 14, 4, 1
+#: The share of the shorter record's bytes that must be common, and by how many letters two spellings may differ.
+COVER, EDITS, BAND = 0.4, 2, 3
 _ARTICLES = ("the", "a", "an")
 
 
@@ -53,35 +56,26 @@ def bare_of(form: str) -> list[str]:
     return [w for w in out if w]
 
 
-@lru_cache(100_000)
-def chunks(form: str) -> list[tuple[int, str]]:
-    """(seed, chunk) by each seed's boundaries over the letters of the form."""
-    text = "".join(bare_of(form))
+def chunks(text: str) -> list[tuple[int, str]]:
+    """(number of the seed, chunk) by each seed's boundaries, distinct; an empty text is one empty chunk."""
     out = set()
     codes = [ord(c) for c in text]
-    for seed in SEEDS:
+    for no, seed in enumerate(SEEDS):
         start = 0
         for i in range(LEAST, len(text) - LEAST + 1):
             size = i - start
-            if size >= LEAST and (size >= MOST or (((codes[i - 2] * seed + codes[i - 1]) * seed + codes[i]) * 2654435761 >> 13) & MASK == 0):
-                out.add((seed, text[start:i]))
+            if size < LEAST:
+                continue
+            roll = 0
+            for c in codes[i - WINDOW : i]:
+                roll = roll * seed + c
+            if size >= MOST or ((roll * seed * 2654435761 + seed * 40503 & 0xFFFFFFFF) >> 15) % ONE_IN == 0:
+                out.add((no, text[start:i]))
                 start = i
-        if text:
-            out.add((seed, text[start:]))
+        out.add((no, text[start:]))
     return sorted(out)
 
 
-def coverage(a: str, b: str) -> float:
-    """The greatest share of bytes of `a` in chunks that `b` has too, over the seeds."""
-    ca, cb, best = chunks(a), set(chunks(b)), 0.0
-    for seed in SEEDS:
-        own = [c for c in ca if c[0] == seed]
-        total = sum(len(c[1].encode()) for c in own)
-        if total:
-            best = max(best, sum(len(c[1].encode()) for c in own if c in cb) / total)
-    return best
-
-
 def _near(a: list[str], b: list[str]) -> bool:
     total = 0
     for x, y in zip(a, b):
@@ -120,94 +114,202 @@ def _forms(ids, batches, kinds, texts):
             yield i, b, k, f
 
 
-def _chunk_rows(kinds, forms, firsts):
+def _cut(kinds, forms, firsts):
     for k, f, i in zip(kinds, forms, firsts):
-        n = number_of(f)
-        got = chunks(f) or [(0, "")]
-        for seed, c in got:
-            yield k, f, i, f"{seed}|{n}|{c}", len(c.encode()), sum(len(x[1].encode()) for x in got if x[0] == seed), seed
+        n, text = number_of(f), "".join(bare_of(f))
+        got = chunks(text)
+        sizes = [max(1, len(c.encode())) for _, c in got]
+        totals = [0] * len(SEEDS)
+        for (no, _), z in zip(got, sizes):
+            totals[no] += z
+        yield k, f, i, len(text), [f"{no}|{n}|{c}" for no, c in got], [z << 3 | no for (no, _), z in zip(got, sizes)], totals
 
 
-CHUNKS = "type string, form string, first string, key string, bytes long, total long, seed long"
+def _verify(nodes, forms, others, labels):
+    for k, f, o, lab in zip(nodes, forms, others, labels):
+        if same(f, o):
+            yield k, lab
 
 
-def _verify(kinds, forms, others, labels):
-    for k, f, o, lab in zip(kinds, forms, others, labels):
-        if f == o or (same(f, o) and (not bare_of(f) or coverage(f, o) >= COVER or coverage(o, f) >= COVER)):
-            yield k, f, lab
+#: A key carries the number of its seed in the lowest 3 bits and the bytes of its chunk in the next 6.
+_KEYS = "transform(arrays_zip(cs, codes), x -> (xxhash64(type, x.cs) & ~511L) | x.codes)"
+_COVERAGE = (
+    f"array_max(transform(sequence(0, {len(SEEDS) - 1}), s -> try_divide(aggregate(filter(common, k -> (k & 7) = s), 0L, (a, k) -> a + (shiftright(k, 3) & 63)), "
+    "least(totals[s], o_totals[s]))))"
+)
+RECORD = "rid long, type string, form string, size int, keys array<long>, totals array<int>, label string"
+POSTING = "key long, band int, size int, rid long"
+COUNT = "key long, band int, n long"
+FOUND = "id string, label string"
 
 
 class History:
-    """Everything accepted so far, as a table of chunks in the shared folder; each batch adds a part to it.
+    """Everything accepted so far, in a folder that outlives the session; each batch adds one part.
+
+    Tables: `records` (one row for each different form: its chunk keys and its label), `postings` (key to record),
+    `counts` (how many records a part added to a key) and `found` (what was said of a batch's mentions), each in parts
+    and, but for `found`, in `buckets` by the hash of record or key, so that a small batch reads only the buckets of
+    its own keys. A part counts once its mark stands in `done`; what a run that died left behind is written over, and
+    a batch that is in it already isn't checked again. `compact` merges the parts into one; older ones stay in place
+    until they are deleted by hand.
 
     Labels: `0|` and the id of a registered entity, `1|` and the id of the mention that named a thing first.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 8):
         self.spark, self.path = spark, path or f"{shared_dir(spark)}/ledgraph/history-{uuid.uuid4().hex}"
-        self.schema = CHUNKS.replace("first string", "label string") + ", batch long"
-        self.parts = 0
-
-    def table(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/part={i}" for i in range(self.parts)])
-
-    def append(self, rows: DataFrame) -> None:
-        rows.select("type", "form", "label", "key", "bytes", "total", "seed", "batch").write.mode("overwrite").parquet(f"{self.path}/part={self.parts}")
-        self.parts += 1
+        kept = [n for n in listing(spark, f"{self.path}/done") if n.startswith("buckets-")]
+        self.buckets = int(kept[0].split("-")[1]) if kept else buckets
+        if not kept:
+            self._mark(f"buckets-{buckets}")
+
+    def _mark(self, name: str) -> None:
+        fs, p = filesystem(self.spark, f"{self.path}/done/{name}")
+        fs.create(p, True).close()
+
+    def _parts(self) -> list[tuple[int, str]]:
+        """(part, what it holds) of the parts that count: those from the last merged one on."""
+        every = sorted((int(n.split("-")[1]), n.split("-", 2)[2]) for n in listing(self.spark, f"{self.path}/done") if n.startswith("part-"))
+        merged = [i for i, (_, what) in enumerate(every) if what == "merged"]
+        return every[merged[-1] :] if merged else every
+
+    def batches(self) -> dict[int, int]:
+        """The part of each batch that was checked."""
+        names = [n.split("-", 2) for n in listing(self.spark, f"{self.path}/done") if n.startswith("part-")]
+        return {int(what[5:]): int(no) for _, no, what in names if what.startswith("batch")}
+
+    def _read(self, what: str, schema: str, touched: list[int] | None = None) -> DataFrame:
+        root = f"{self.path}/{what}"
+        got = [f"{root}/part={no}" for no, _ in self._parts()]
+        if not got:
+            return self.spark.createDataFrame([], schema)
+        df = self.spark.read.schema(schema + ", part int, bucket int").option("basePath", root).parquet(*got)
+        return (df if touched is None else df.where(F.col("bucket").isin(touched))).drop("part", "bucket")
+
+    def _touched(self, keys) -> list[int]:
+        """The buckets of a column of keys: at most `buckets` rows come to the driver."""
+        return [r[0] for r in keys.select(self._bucket(keys.columns[0]).alias("b")).distinct().collect()]
+
+    def _bucket(self, c: str):
+        return F.expr(f"cast(pmod(xxhash64({c}), {self.buckets}) as int)")
+
+    def _write(self, what: str, no: int, df: DataFrame, by: str) -> None:
+        b = df.withColumn("bucket", self._bucket(by))
+        b.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{what}/part={no}")
+
+    def _append(self, records: DataFrame, found: DataFrame | None, holds: str) -> None:
+        """Add records (RECORD) as the next part."""
+        no = max([0, *(int(n.split("-")[1]) for n in listing(self.spark, f"{self.path}/done") if n.startswith("part-"))]) + 1
+        self._write("records", no, records, "rid")
+        posts = self._postings(records)
+        self._write("postings", no, posts, "key")
+        self._write("counts", no, posts.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n")), "key")
+        if found is not None:
+            found.write.mode("overwrite").parquet(f"{self.path}/found/part={no}")
+        self._mark(f"part-{no:06d}-{holds}")
+
+    @staticmethod
+    def _postings(records: DataFrame) -> DataFrame:
+        return records.select(F.explode("keys").alias("key"), F.expr(f"size div {BAND}").cast("int").alias("band"), "size", "rid")
+
+    @staticmethod
+    def _cut_forms(firsts: DataFrame) -> DataFrame:
+        """The chunk keys of forms (type, form, first)."""
+        c = firsts.select("type", "form", "first").mapInArrow(*rows("type string, form string, first string, size int, cs array<string>, codes array<int>, totals array<int>", _cut))
+        return c.select(F.xxhash64("type", "form").alias("rid"), "type", "form", "size", F.expr(_KEYS).alias("keys"), "totals", "first")
 
     def accept_entities(self, entities: DataFrame) -> None:
-        """Register entities (canon_id, type, canonical, aliases); null types and names are left out."""
+        """Register entities (canon_id, type, canonical, aliases); null types and names are left out. They count as one part, which is added once."""
+        if any(n.endswith("-entities") for n in listing(self.spark, f"{self.path}/done")):
+            return
         names = entities.where("canon_id is not null and type is not null").select(F.col("canon_id").alias("id"), "type", F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("text"))
-        rows = names.where("text is not null").select("id", F.lit(0).cast("long").alias("b"), "type", "text")
-        forms = rows.mapInArrow(*_table("id string, b long, type string, form string", _forms)).groupBy("type", "form").agg(F.min("id").alias("first"))
-        self.append(forms.mapInArrow(*_table(CHUNKS, _chunk_rows)).withColumn("label", F.concat(F.lit("0|"), "first")).withColumn("batch", F.lit(None).cast("long")))
-
-    def labels(self) -> DataFrame:
-        """(b, type, form, label) of every batch checked so far."""
-        return self.table().where("batch is not null").select(F.col("batch").alias("b"), "type", "form", "label").distinct()
-
-    def check(self, batch: DataFrame, number: int) -> None:
-        """Label the forms (id, type, form) of one batch; its chunks are appended.
-
-        Copies of a form are one row from here on. Only a form's rarest chunks are looked up: those it leaves out
-        hold less than COVER of its bytes, so no record that shares COVER of them is missed, while a chunk that
-        very many records hold is not followed.
+        got = names.where("text is not null").select("id", F.lit(0).cast("long").alias("b"), "type", "text")
+        forms = got.mapInArrow(*rows("id string, b long, type string, form string", _forms)).groupBy("type", "form").agg(F.min("id").alias("first"))
+        records = stage(self._cut_forms(forms).withColumn("label", F.concat(F.lit("0|"), "first")).drop("first"), "records")
+        self._append(records, None, "entities")
+
+    def check(self, batch: DataFrame, number: int) -> DataFrame:
+        """(id, label) of the mentions (id, type, form) of one batch, which is accepted. A batch checked before is only read.
+
+        A form that is known has its label. A new one is cut into chunks; of these, the rarest are followed to the
+        records of like length that hold them, by the counts of its length: those left out hold less than COVER of
+        the form's bytes, so no record that shares COVER of them is missed. Of a pair the shared bytes of all chunks
+        decide: under every seed's boundaries less than COVER of the shorter one's bytes, and it is none. `same` then
+        looks at the words. Copies of a form are one row from the start.
         """
-        firsts = batch.groupBy("type", "form").agg(F.min("id").alias("first"))
-        own = stage(firsts.mapInArrow(*_table(CHUNKS, _chunk_rows)), "chunks")
+        done = self.batches()
+        if number in done:
+            return self.found([done[number]])
+        ids = batch.select("id", "type", "form", F.xxhash64("type", "form").alias("rid"))
+        touched = self._touched(ids.select("rid"))
+        known = self._read("records", RECORD, touched).select("type", "form", "label")
+        firsts = stage(ids.groupBy("type", "form").agg(F.min("id").alias("first")).join(known, ["type", "form"], "left"), "firsts")
+        new = stage(self._cut_forms(firsts.where("label is null")), "new")
+        own = self._postings(new)
+        asked = new.select("rid", "size", "totals", F.explode("keys").alias("key"))
+        touched = self._touched(asked.select("key"))
+        asked = asked.withColumn("band", F.explode(F.expr(f"sequence(cast(greatest(size - {EDITS}, 0) div {BAND} as int), cast((size + {EDITS}) div {BAND} as int))")))
+        asked = asked.withColumn("seed", F.col("key").bitwiseAND(7).cast("int")).withColumn("bytes", F.shiftright("key", 3).bitwiseAND(63))
+        have = self._read("counts", COUNT, touched).unionByName(own.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n")))
+        have = have.join(asked.select("key", "band").distinct(), ["key", "band"], "left_semi").groupBy("key", "band").agg(F.sum("n").alias("n"))
+        ranked = asked.join(have, ["key", "band"], "left")
+        w = W.partitionBy("rid", "seed", "band").orderBy(F.coalesce("n", F.lit(0)).desc(), "key").rowsBetween(W.unboundedPreceding, 0)
+        rare = ranked.withColumn("held", F.sum("bytes").over(w)).where((F.col("held") >= COVER * F.expr("totals[seed]")) & (F.col("n") > 0))
+        holders = self._read("postings", POSTING, touched).unionByName(own.select("key", "band", "size", "rid"))
+        holders = holders.select("key", "band", F.col("size").alias("o_size"), F.col("rid").alias("o"))
+        met = rare.select("rid", "size", "key", "band").join(holders, ["key", "band"]).where((F.abs(F.col("size") - F.col("o_size")) <= EDITS) & (F.col("rid") != F.col("o"))).select("rid", "o").distinct()
+        met = stage(met, "met")
         node = F.concat_ws("|", F.lit("2"), "type", "form")
-        records = own.select("type", "key", "form", node.alias("label"))
-        if self.parts:
-            records = records.unionByName(self.table().select("type", "key", "form", "label"))
-        common = records.groupBy("type", "key").agg(F.count(F.lit(1)).alias("df"))
-        ranked = own.join(common, ["type", "key"])
-        w = W.partitionBy("type", "form", "seed").orderBy(F.col("df").desc(), F.col("key"))
-        rare = ranked.withColumn("held", F.sum("bytes").over(w.rowsBetween(W.unboundedPreceding, 0))).where(F.col("held") >= COVER * F.col("total")).select("type", "key", "form")
-        pairs = rare.join(records.withColumnRenamed("form", "other"), ["type", "key"]).where(F.col("label") != node).select("type", "form", "other", "label").distinct()
-        links = pairs.mapInArrow(*_table("type string, form string, label string", _verify))
-        groups = connected_groups(links.select(node.alias("a"), F.col("label").alias("b")))
-        named = groups.where("member like '2|%'").withColumnRenamed("member", "node")
-        rows = own.withColumn("node", node).join(named, "node", "left").withColumn("g", F.coalesce("group_id", "node"))
-        lone = rows.where("g like '2|%'").groupBy("g").agg(F.min("first").alias("f"))
-        rows = rows.join(lone, "g", "left").withColumn("label", F.coalesce(F.concat(F.lit("1|"), "f"), "g"))
-        self.append(rows.withColumn("batch", F.lit(number).cast("long")))
-
-
-def repeats(incoming: DataFrame, entities: DataFrame) -> DataFrame:
+        others = self._read("records", RECORD, self._touched(met.select("o"))).unionByName(new.withColumn("label", node).select(*[c.split()[0] for c in RECORD.split(", ")]))
+        others = others.select(F.col("rid").alias("o"), F.col("type").alias("o_type"), F.col("form").alias("o_form"), F.col("keys").alias("o_keys"), F.col("totals").alias("o_totals"), F.col("label").alias("o_label"))
+        pairs = met.join(new.select("rid", "type", "form", "keys", "totals"), "rid").join(others, "o").where("type = o_type and form <> o_form")
+        pairs = pairs.withColumn("common", F.array_intersect("keys", "o_keys")).where(F.expr(_COVERAGE) >= COVER)
+        links = pairs.select(node.alias("a"), "form", "o_form", "o_label").mapInArrow(*rows("a string, b string", _verify))
+        groups = connected_groups(links)
+        named = groups.where("member like '2|%'").select(F.col("member").alias("node"), "group_id")
+        got = new.withColumn("node", node).join(named, "node", "left").withColumn("g", F.coalesce("group_id", "node"))
+        lone = got.where("g like '2|%'").groupBy("g").agg(F.min("first").alias("f"))
+        got = got.join(lone, "g", "left").withColumn("label", F.coalesce(F.concat(F.lit("1|"), "f"), "g"))
+        records = stage(got.select(*[c.split()[0] for c in RECORD.split(", ")]), "records")
+        labels = firsts.where("label is not null").select("type", "form", "label").unionByName(records.select("type", "form", "label"))
+        self._append(records, ids.join(labels, ["type", "form"]).select("id", "label"), f"batch{number}")
+        return self.found([self.batches()[number]])
+
+    def found(self, parts: list[int]) -> DataFrame:
+        """(id, label) of what was said of the mentions of some parts."""
+        return self.spark.read.schema(FOUND).parquet(*[f"{self.path}/found/part={p}" for p in parts])
+
+    def compact(self) -> None:
+        """Merge all parts into one; for after many batches. `found` stays in its parts."""
+        have = self._parts()
+        if len(have) < 2:
+            return
+        no = have[-1][0] + 1
+        for what, schema, by in (("records", RECORD, "rid"), ("postings", POSTING, "key")):
+            self._write(what, no, self._read(what, schema), by)
+        self._write("counts", no, self._read("counts", COUNT).groupBy("key", "band").agg(F.sum("n").alias("n")), "key")
+        self._mark(f"part-{no:06d}-merged")
+
+
+def repeats(incoming: DataFrame, entities: DataFrame, path: str | None = None) -> DataFrame:
     """(first_id, mention_id) of each incoming mention that repeats an entity or an earlier mention of its type.
 
-    Batches are checked in order, each against the chunks of everything before and of its own. A null batch_no
-    comes last; null types, and texts that are null or hold no letter or digit, repeat nothing. Equal numbers are
-    required, and a word more or less, other than an article or the type's own name, makes another thing. If a
-    mention links two known things, the registered one, else the earlier, is taken.
+    Batches are checked in order, each against the chunks of everything before and of its own, in the history at
+    `path` (a new one where it is null); those it holds already are only read. A null batch_no comes last; null
+    types, and texts that are null or hold no letter or digit, repeat nothing. Equal numbers are required, and a word
+    more or less, other than an article or the type's own name, makes another thing. If a mention links two known
+    things, the registered one, else the earlier, is taken.
     """
-    history = History(incoming.sparkSession)
+    history = History(incoming.sparkSession, path)
     history.accept_entities(entities)
-    rows = incoming.where("mention_id is not null and type is not null and text is not null").select(
+    told = incoming.where("mention_id is not null and type is not null and text is not null").select(
         F.col("mention_id").alias("id"), F.coalesce(F.col("batch_no").cast("long"), F.lit(2**31)).alias("b"), "type", "text"
     )
-    forms = stage(rows.mapInArrow(*_table("id string, b long, type string, form string", _forms)), "forms")
+    forms = stage(told.mapInArrow(*rows("id string, b long, type string, form string", _forms)), "forms")
     for (no,) in sorted(forms.select("b").distinct().collect()):
         history.check(forms.where(F.col("b") == no).select("id", "type", "form"), no)
-    got = forms.join(history.labels(), ["b", "type", "form"]).select(F.substring("label", 3, 1_000_000).alias("first_id"), F.col("id").alias("mention_id"))
+    parts = sorted(history.batches().values())
+    if not parts:
+        return incoming.sparkSession.createDataFrame([], "first_id string, mention_id string")
+    got = history.found(parts).select(F.expr("substring(label, 3)").alias("first_id"), F.col("id").alias("mention_id"))
     return got.where("first_id <> mention_id").distinct()

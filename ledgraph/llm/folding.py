@@ -76,18 +76,26 @@ def within(a: str, b: str, most: int) -> int:
         a, b = a[:-1], b[:-1]
     if not a or not b:
         return min(len(a) + len(b), most + 1)
-    before, last = None, list(range(len(b) + 1))
+    # Only cells within `most` of the diagonal can hold a distance that counts.
+    far, n = most + 1, len(b)
+    before, last = None, [j if j <= most else far for j in range(n + 1)]
     for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
+        lo, hi = max(1, i - most), min(n, i + most)
+        now = [far] * (n + 1)
+        now[0] = i if i <= most else far
+        least = now[0]
+        for j in range(lo, hi + 1):
+            y = b[j - 1]
             v = min(last[j] + 1, now[j - 1] + 1, last[j - 1] + (x != y))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 v = min(v, before[j - 2] + 1)
-            now.append(v)
-        if min(now) > most:
-            return most + 1
+            now[j] = v
+            if v < least:
+                least = v
+        if least > most:
+            return far
         before, last = last, now
-    return min(last[-1], most + 1)
+    return min(last[-1], far)
 
 
 def deletions(w: str) -> set[str]:

@@ -149,6 +149,55 @@ def test_arrivals(spark):
     assert got == {"x1": "product:a", "x3": "x2", "x7": "x4"}
 
 
+def test_a_history_is_opened_again_and_merged(spark, tmp_path):
+    ents = spark.createDataFrame([("product:a", "product", "Fegole Meduda 9 Mini", None)], "canon_id string, type string, canonical string, aliases array<string>")
+    schema, path = "mention_id string, batch_no int, type string, text string", f"file://{tmp_path}/history"
+    first = [("x1", 1, "product", "fegole-meduda 9 mini"), ("x2", 1, "tool", "Sizemuwilu CLI"), ("x3", 1, "tool", None)]
+    then = [("x4", 2, "product", "Fegole Medudda 9 Mini"), ("x5", 2, "tool", "Sizemuwiilu CLI"), ("x6", 2, "tool", "Sizemuwilu Sync")]
+    got = {(r.mention_id, r.first_id) for r in arrivals.repeats(spark.createDataFrame(first, schema), ents, path).collect()}
+    assert got == {("x1", "product:a")}
+    later = arrivals.History(spark, path, buckets=3)  # the number of buckets is the one it was made with
+    assert later.buckets == 8 and set(later.batches()) == {1}
+    later.compact()
+    both = {(r.mention_id, r.first_id) for r in arrivals.repeats(spark.createDataFrame(first + then, schema), ents, path).collect()}
+    assert both == {("x1", "product:a"), ("x4", "product:a"), ("x5", "x2")}
+    parts = arrivals.History(spark, path)._parts()
+    assert {r.mention_id for r in arrivals.repeats(spark.createDataFrame(first + then, schema), ents, path).collect()} == {"x1", "x4", "x5"}
+    assert arrivals.History(spark, path)._parts() == parts
+
+
+def test_rare_chunks_miss_no_pair_that_shares_enough(spark):
+    rnd = random.Random(9)
+    syl = lambda n: "".join(rnd.choice("bdfgk") + rnd.choice("aeiou") for _ in range(n))
+    forms = list({f"{syl(3)} {syl(3)} {rnd.choice(['depot', 'annex'])}" for _ in range(150)})
+    for f in list(forms):
+        i = rnd.randrange(1, len(f) - 7)
+        forms.append(f[:i] + f[i + 1 :])
+    forms = sorted({" ".join(f.split()) for f in forms})
+    rows = [(f"m{i:04d}", i % 3, "place", f) for i, f in enumerate(forms)]
+    ents = spark.createDataFrame([], "canon_id string, type string, canonical string, aliases array<string>")
+    got = {(r.mention_id, r.first_id) for r in arrivals.repeats(spark.createDataFrame(rows, "mention_id string, batch_no int, type string, text string"), ents).collect()}
+
+    def share(x, y):
+        best = 0
+        a, b = (arrivals.chunks("".join(arrivals.bare_of(f))) for f in (x, y))
+        for s in range(len(arrivals.SEEDS)):
+            one, two = ({c for n, c in z if n == s} for z in (a, b))
+            best = max(best, sum(map(len, one & two)) / min(sum(map(len, one)), sum(map(len, two))))
+        return best
+
+    link = {}
+    for i, x in enumerate(forms):
+        for j, y in enumerate(forms[:i]):
+            if abs(len(x) - len(y)) <= 3 and arrivals.same(arrivals.form_of("place", x), arrivals.form_of("place", y)) and share(x, y) >= arrivals.COVER:
+                link.setdefault(i, []).append(j)
+    order = sorted(range(len(forms)), key=lambda i: (i % 3, i))
+    when = {i: k for k, i in enumerate(order)}
+    linked = {i for i in link} | {j for js in link.values() for j in js}
+    told = {int(m[1:]) for m, _ in got} | {int(f[1:]) for _, f in got}
+    assert linked and told == linked and when
+
+
 def test_folding():
     assert folding.words("François JetÃ¡wave") == ["francois", "jetawave"]
     assert folding.within("abcd", "acbd", 2) == 1 and folding.within("abc", "xyz", 1) == 2
