@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgraph.llm.arrow import rows
@@ -24,8 +24,8 @@ from ledgraph.sources.tables import filesystem, listing, shared_dir, stage
 
 #: Boundaries are set once for each seed; a chunk has LEAST to MOST letters, and one in ONE_IN letters ends one.
 SEEDS, LEAST, MOST, ONE_IN, WINDOW = (31, 57, 101, 211, 17, 73, 131, 257), 3, 14, 4, 1
-#: The share of the shorter record's bytes that must be common, and by how many letters two spellings may differ.
-COVER, EDITS, BAND = 0.4, 2, 3
+#: The share of a new record's bytes that must be common, and by how many letters two spellings may differ in length.
+COVER, EDITS = 0.4, 2
 _ARTICLES = ("the", "a", "an")
 
 
@@ -56,24 +56,26 @@ def bare_of(form: str) -> list[str]:
     return [w for w in out if w]
 
 
-def chunks(text: str) -> list[tuple[int, str]]:
-    """(number of the seed, chunk) by each seed's boundaries, distinct; an empty text is one empty chunk."""
-    out = set()
+def chunks(text: str) -> dict[str, int]:
+    """The distinct chunks by all seeds' boundaries, each with the seeds that cut it as bits; an empty text is one empty chunk."""
+    out: dict[str, int] = {}
     codes = [ord(c) for c in text]
+    last = len(text) - LEAST
     for no, seed in enumerate(SEEDS):
-        start = 0
-        for i in range(LEAST, len(text) - LEAST + 1):
-            size = i - start
-            if size < LEAST:
-                continue
+        start, at = 0, LEAST
+        while at <= last:
             roll = 0
-            for c in codes[i - WINDOW : i]:
+            for c in codes[at - WINDOW : at]:
                 roll = roll * seed + c
-            if size >= MOST or ((roll * seed * 2654435761 + seed * 40503 & 0xFFFFFFFF) >> 15) % ONE_IN == 0:
-                out.add((no, text[start:i]))
-                start = i
-        out.add((no, text[start:]))
-    return sorted(out)
+            if at - start >= MOST or ((roll * seed * 2654435761 + seed * 40503 & 0xFFFFFFFF) >> 15) % ONE_IN == 0:
+                c = text[start:at]
+                out[c] = out.get(c, 0) | 1 << no
+                start, at = at, at + LEAST
+            else:
+                at += 1
+        c = text[start:]
+        out[c] = out.get(c, 0) | 1 << no
+    return out
 
 
 def _near(a: list[str], b: list[str]) -> bool:
@@ -114,35 +116,61 @@ def _forms(ids, batches, kinds, texts):
             yield i, b, k, f
 
 
-def _cut(kinds, forms, firsts):
-    for k, f, i in zip(kinds, forms, firsts):
+def _cut(kinds, forms, firsts, labels):
+    for k, f, i, lab in zip(kinds, forms, firsts, labels):
+        if lab is not None:
+            yield k, f, i, lab, 0, [], [], [], []
+            continue
         n, text = number_of(f), "".join(bare_of(f))
         got = chunks(text)
-        sizes = [max(1, len(c.encode())) for _, c in got]
-        totals = [0] * len(SEEDS)
-        for (no, _), z in zip(got, sizes):
-            totals[no] += z
-        yield k, f, i, len(text), [f"{no}|{n}|{c}" for no, c in got], [z << 3 | no for (no, _), z in zip(got, sizes)], totals
-
-
-def _verify(nodes, forms, others, labels):
-    for k, f, o, lab in zip(nodes, forms, others, labels):
-        if same(f, o):
+        sizes = [max(1, len(c.encode())) for c in got]  # 56 at most
+        totals = [sum(z for z, m in zip(sizes, got.values()) if m >> no & 1) for no in range(len(SEEDS))]
+        yield k, f, i, None, len(text), [f"{n}|{c}" for c in got], sizes, list(got.values()), totals
+
+
+def _rarest(rids, letters, keys, masks, totals, seen, counts):
+    """Of each record the keys that must be followed: under each seed's boundaries the rarest, until the rest is under COVER."""
+    for rid, size, own, mask, total, known, n in zip(rids, letters, keys, masks, totals, seen, counts):
+        often = dict(zip(known, n))
+        ranked = sorted(zip(own, mask), key=lambda x: (-often[x[0]], x[0]))
+        held, out = [0] * len(total), []
+        for key, m in ranked:
+            follow = False
+            for no in range(len(total)):
+                if m >> no & 1:
+                    held[no] += key & 63
+                    follow = follow or held[no] >= COVER * total[no]
+            if follow and often[key] > 1:
+                out.append(key)
+        for key in out:
+            yield rid, size, key
+
+
+def _decide(nodes, forms, keys, masks, totals, others, o_keys, labels):
+    for k, f, own, mask, total, o, theirs, lab in zip(nodes, forms, keys, masks, totals, others, o_keys, labels):
+        theirs = set(theirs)
+        held = [0] * len(total)
+        for key, m in zip(own, mask):
+            if key in theirs:
+                for no in range(len(total)):
+                    if m >> no & 1:
+                        held[no] += key & 63
+        if any(h >= COVER * t for h, t in zip(held, total)) and same(f, o):
             yield k, lab
 
 
-#: A key carries the number of its seed in the lowest 3 bits and the bytes of its chunk in the next 6.
-_KEYS = "transform(arrays_zip(cs, codes), x -> (xxhash64(type, x.cs) & ~511L) | x.codes)"
-_COVERAGE = (
-    f"array_max(transform(sequence(0, {len(SEEDS) - 1}), s -> try_divide(aggregate(filter(common, k -> (k & 7) = s), 0L, (a, k) -> a + (shiftright(k, 3) & 63)), "
-    "least(totals[s], o_totals[s]))))"
-)
-RECORD = "rid long, type string, form string, size int, keys array<long>, totals array<int>, label string"
-POSTING = "key long, band int, size int, rid long"
-COUNT = "key long, band int, n long"
+#: A key carries the bytes of its chunk in the lowest 6 bits.
+_KEYS = "transform(arrays_zip(cs, sizes), x -> (xxhash64(type, x.cs) & ~63L) | x.sizes)"
+RECORD = "rid long, type string, form string, size int, keys array<long>, label string"
+POSTING = "key long, size int, rid long"
+COUNT = "key long, n long"
 FOUND = "id string, label string"
 
 
+def _names(spec: str) -> list[str]:
+    return [c.split()[0] for c in spec.split(", ")]
+
+
 class History:
     """Everything accepted so far, in a folder that outlives the session; each batch adds one part.
 
@@ -156,7 +184,7 @@ class History:
     Labels: `0|` and the id of a registered entity, `1|` and the id of the mention that named a thing first.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 8):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 4):
         self.spark, self.path = spark, path or f"{shared_dir(spark)}/ledgraph/history-{uuid.uuid4().hex}"
         kept = [n for n in listing(spark, f"{self.path}/done") if n.startswith("buckets-")]
         self.buckets = int(kept[0].split("-")[1]) if kept else buckets
@@ -200,23 +228,28 @@ class History:
     def _append(self, records: DataFrame, found: DataFrame | None, holds: str) -> None:
         """Add records (RECORD) as the next part."""
         no = max([0, *(int(n.split("-")[1]) for n in listing(self.spark, f"{self.path}/done") if n.startswith("part-"))]) + 1
-        self._write("records", no, records, "rid")
         posts = self._postings(records)
-        self._write("postings", no, posts, "key")
-        self._write("counts", no, posts.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n")), "key")
-        if found is not None:
-            found.write.mode("overwrite").parquet(f"{self.path}/found/part={no}")
+        with ThreadPoolExecutor(4) as pool:  # four small tables, written side by side
+            jobs = [
+                pool.submit(self._write, "records", no, records, "rid"), pool.submit(self._write, "postings", no, posts, "key"),
+                pool.submit(self._write, "counts", no, posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key"),
+            ]
+            if found is not None:
+                jobs.append(pool.submit(found.write.mode("overwrite").parquet, f"{self.path}/found/part={no}"))
+            for j in jobs:
+                j.result()
         self._mark(f"part-{no:06d}-{holds}")
 
     @staticmethod
     def _postings(records: DataFrame) -> DataFrame:
-        return records.select(F.explode("keys").alias("key"), F.expr(f"size div {BAND}").cast("int").alias("band"), "size", "rid")
+        return records.select(F.explode("keys").alias("key"), "size", "rid")
 
     @staticmethod
     def _cut_forms(firsts: DataFrame) -> DataFrame:
-        """The chunk keys of forms (type, form, first)."""
-        c = firsts.select("type", "form", "first").mapInArrow(*rows("type string, form string, first string, size int, cs array<string>, codes array<int>, totals array<int>", _cut))
-        return c.select(F.xxhash64("type", "form").alias("rid"), "type", "form", "size", F.expr(_KEYS).alias("keys"), "totals", "first")
+        """Forms (type, form, first, label) with the chunk keys of those that have no label yet."""
+        spec = "type string, form string, first string, label string, size int, cs array<string>, sizes array<int>, masks array<int>, totals array<int>"
+        c = firsts.select("type", "form", "first", "label").mapInArrow(*rows(spec, _cut))
+        return c.select(F.xxhash64("type", "form").alias("rid"), "type", "form", "size", F.expr(_KEYS).alias("keys"), "masks", "totals", "first", "label")
 
     def accept_entities(self, entities: DataFrame) -> None:
         """Register entities (canon_id, type, canonical, aliases); null types and names are left out. They count as one part, which is added once."""
@@ -225,52 +258,54 @@ class History:
         names = entities.where("canon_id is not null and type is not null").select(F.col("canon_id").alias("id"), "type", F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("text"))
         got = names.where("text is not null").select("id", F.lit(0).cast("long").alias("b"), "type", "text")
         forms = got.mapInArrow(*rows("id string, b long, type string, form string", _forms)).groupBy("type", "form").agg(F.min("id").alias("first"))
-        records = stage(self._cut_forms(forms).withColumn("label", F.concat(F.lit("0|"), "first")).drop("first"), "records")
+        cut = self._cut_forms(forms.withColumn("label", F.lit(None).cast("string")))
+        records = stage(cut.withColumn("label", F.concat(F.lit("0|"), "first")).select(*_names(RECORD)), "records")
         self._append(records, None, "entities")
 
     def check(self, batch: DataFrame, number: int) -> DataFrame:
         """(id, label) of the mentions (id, type, form) of one batch, which is accepted. A batch checked before is only read.
 
-        A form that is known has its label. A new one is cut into chunks; of these, the rarest are followed to the
-        records of like length that hold them, by the counts of its length: those left out hold less than COVER of
-        the form's bytes, so no record that shares COVER of them is missed. Of a pair the shared bytes of all chunks
-        decide: under every seed's boundaries less than COVER of the shorter one's bytes, and it is none. `same` then
-        looks at the words. Copies of a form are one row from the start.
+        A form that is known has its label. A new one is cut into chunks; of these, the rarest by the counts are
+        followed to the records of like length that hold them: those left out hold less than COVER of the form's
+        bytes, so no record that shares COVER of them is missed. Of each pair met so the shared bytes of all chunks
+        decide: under no seed's boundaries COVER of the new one's bytes, and it is none. `same` then looks at the
+        words. Copies of a form are one row from the start.
         """
         done = self.batches()
         if number in done:
             return self.found([done[number]])
         ids = batch.select("id", "type", "form", F.xxhash64("type", "form").alias("rid"))
         touched = self._touched(ids.select("rid"))
+        few = len(touched) < self.buckets
         known = self._read("records", RECORD, touched).select("type", "form", "label")
-        firsts = stage(ids.groupBy("type", "form").agg(F.min("id").alias("first")).join(known, ["type", "form"], "left"), "firsts")
-        new = stage(self._cut_forms(firsts.where("label is null")), "new")
+        firsts = ids.groupBy("type", "form").agg(F.min("id").alias("first")).join(known, ["type", "form"], "left")
+        firsts = stage(self._cut_forms(firsts), "firsts")
+        new = firsts.where("label is null")
         own = self._postings(new)
-        asked = new.select("rid", "size", "totals", F.explode("keys").alias("key"))
-        touched = self._touched(asked.select("key"))
-        asked = asked.withColumn("band", F.explode(F.expr(f"sequence(cast(greatest(size - {EDITS}, 0) div {BAND} as int), cast((size + {EDITS}) div {BAND} as int))")))
-        asked = asked.withColumn("seed", F.col("key").bitwiseAND(7).cast("int")).withColumn("bytes", F.shiftright("key", 3).bitwiseAND(63))
-        have = self._read("counts", COUNT, touched).unionByName(own.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n")))
-        have = have.join(asked.select("key", "band").distinct(), ["key", "band"], "left_semi").groupBy("key", "band").agg(F.sum("n").alias("n"))
-        ranked = asked.join(have, ["key", "band"], "left")
-        w = W.partitionBy("rid", "seed", "band").orderBy(F.coalesce("n", F.lit(0)).desc(), "key").rowsBetween(W.unboundedPreceding, 0)
-        rare = ranked.withColumn("held", F.sum("bytes").over(w)).where((F.col("held") >= COVER * F.expr("totals[seed]")) & (F.col("n") > 0))
-        holders = self._read("postings", POSTING, touched).unionByName(own.select("key", "band", "size", "rid"))
-        holders = holders.select("key", "band", F.col("size").alias("o_size"), F.col("rid").alias("o"))
-        met = rare.select("rid", "size", "key", "band").join(holders, ["key", "band"]).where((F.abs(F.col("size") - F.col("o_size")) <= EDITS) & (F.col("rid") != F.col("o"))).select("rid", "o").distinct()
-        met = stage(met, "met")
+        touched = self._touched(own.select("key")) if few else None
+        counts = own.groupBy("key").agg(F.count(F.lit(1)).alias("own"))
+        before = self._read("counts", COUNT, touched).join(counts.select("key"), "key", "left_semi").groupBy("key").agg(F.sum("n").alias("n"))
+        counts = counts.join(before, "key", "left").select("key", (F.col("own") + F.coalesce("n", F.lit(0))).alias("n"))
+        often = own.join(counts, "key").groupBy("rid").agg(F.collect_list(F.struct("key", "n")).alias("seen"))  # a record's own keys
+        often = new.join(often, "rid").select("rid", "size", "keys", "masks", "totals", "seen.key", "seen.n")
+        rare = often.mapInArrow(*rows("rid long, size int, key long", _rarest))
+        holders = self._read("postings", POSTING, touched).unionByName(own).select("key", F.col("size").alias("o_size"), F.col("rid").alias("o"))
+        met = rare.join(holders, "key").where((F.abs(F.col("size") - F.col("o_size")) <= EDITS) & (F.col("rid") != F.col("o"))).select("rid", "o").distinct()
+        met = met.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "rid")  # few bytes, but work for all cores
         node = F.concat_ws("|", F.lit("2"), "type", "form")
-        others = self._read("records", RECORD, self._touched(met.select("o"))).unionByName(new.withColumn("label", node).select(*[c.split()[0] for c in RECORD.split(", ")]))
-        others = others.select(F.col("rid").alias("o"), F.col("type").alias("o_type"), F.col("form").alias("o_form"), F.col("keys").alias("o_keys"), F.col("totals").alias("o_totals"), F.col("label").alias("o_label"))
-        pairs = met.join(new.select("rid", "type", "form", "keys", "totals"), "rid").join(others, "o").where("type = o_type and form <> o_form")
-        pairs = pairs.withColumn("common", F.array_intersect("keys", "o_keys")).where(F.expr(_COVERAGE) >= COVER)
-        links = pairs.select(node.alias("a"), "form", "o_form", "o_label").mapInArrow(*rows("a string, b string", _verify))
+        if few:
+            met = stage(met, "met")
+            touched = self._touched(met.select("o"))
+        others = self._read("records", RECORD, touched).unionByName(new.withColumn("label", node).select(*_names(RECORD)))
+        others = others.select(F.col("rid").alias("o"), F.col("type").alias("o_type"), F.col("form").alias("o_form"), F.col("keys").alias("o_keys"), F.col("label").alias("o_label"))
+        pairs = met.join(new.select("rid", "type", "form", "keys", "masks", "totals"), "rid").join(others, "o").where("type = o_type and form <> o_form")
+        links = pairs.select(node.alias("a"), "form", "keys", "masks", "totals", "o_form", "o_keys", "o_label").mapInArrow(*rows("a string, b string", _decide))
         groups = connected_groups(links)
         named = groups.where("member like '2|%'").select(F.col("member").alias("node"), "group_id")
-        got = new.withColumn("node", node).join(named, "node", "left").withColumn("g", F.coalesce("group_id", "node"))
+        got = new.drop("label").withColumn("node", node).join(named, "node", "left").withColumn("g", F.coalesce("group_id", "node"))
         lone = got.where("g like '2|%'").groupBy("g").agg(F.min("first").alias("f"))
         got = got.join(lone, "g", "left").withColumn("label", F.coalesce(F.concat(F.lit("1|"), "f"), "g"))
-        records = stage(got.select(*[c.split()[0] for c in RECORD.split(", ")]), "records")
+        records = stage(got.select(*_names(RECORD)), "records")
         labels = firsts.where("label is not null").select("type", "form", "label").unionByName(records.select("type", "form", "label"))
         self._append(records, ids.join(labels, ["type", "form"]).select("id", "label"), f"batch{number}")
         return self.found([self.batches()[number]])
@@ -287,7 +322,7 @@ class History:
         no = have[-1][0] + 1
         for what, schema, by in (("records", RECORD, "rid"), ("postings", POSTING, "key")):
             self._write(what, no, self._read(what, schema), by)
-        self._write("counts", no, self._read("counts", COUNT).groupBy("key", "band").agg(F.sum("n").alias("n")), "key")
+        self._write("counts", no, self._read("counts", COUNT).groupBy("key").agg(F.sum("n").alias("n")), "key")
         self._mark(f"part-{no:06d}-merged")
 
 
