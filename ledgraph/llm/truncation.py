@@ -18,6 +18,12 @@ MARKS = r"(?:\.\.\.|…|\[\s*(?:…|\.\.\.|more|truncated|cut)?\s*\]?|\((?:trunc
 STOPS = r"[.!?。！？؟।]"
 CLOSERS = "[\"'”’»)\\]}」』*_]"
 ABBREVIATIONS = r"(?:^|[\s(])(?:(?:\p{L}\.)+|Inc\.|Corp\.|Co\.|Ltd\.|Mr\.|Mrs\.|Ms\.|Dr\.|Prof\.|No\.|St\.|vs\.|ca\.|Nr\.|Sr\.|Jr\.)$"
+MARK_AT_END = rf"(?U)\s*{MARKS}$"
+#: A sentence's end, which pictures may follow; an abbreviation's full stop is none.
+ENDED = rf"{STOPS}{CLOSERS}*[\s\p{{So}}\p{{Sk}}\uFE0F\u200D]*$"
+ABBREVIATED = ABBREVIATIONS.removesuffix("$") + r"[\s\p{So}\p{Sk}\uFE0F\u200D]*$"
+#: Stands for the first word of a last line of several sentences.
+PROSE = "\n"
 ENCODINGS = ("chars", "utf16", "utf8", "html", "html_utf8", "quoted_html", "json", "json_utf8", "crlf", "crlf_utf8", "lf")
 
 
@@ -50,56 +56,75 @@ def lengths() -> dict:
 def inspected(docs: DataFrame) -> DataFrame:
     """One row per text that isn't null or blank: its lengths and how it ends. Written once, as all steps read it.
 
-    Only the last 600 characters are searched for the last line; lengths and the hash are those of the whole text.
+    Everything is taken from the whole text: its last line and the one before, whatever their length. Patterns that
+    look at an end are anchored there, so a long line costs no more than a short one.
     """
     d = docs.select("doc_id", "source", "text").where(F.trim("text", F.lit(WHITE)) != "")
-    tail = F.translate(F.rtrim(F.substring("text", -600, 600), F.lit(WHITE)), "\r", "\n")
-    d = d.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("text").alias("text_hash"), F.array(*[v.cast("int") for v in lengths().values()]).alias("lens"), tail.alias("full"))
-    end = F.right("full", F.lit(32))
-    bare = F.regexp_replace(end, rf"(?U)\s*{MARKS}$", "")
-    cut = F.length(end) - F.length(bare)
+    full = F.translate(F.rtrim("text", F.lit(WHITE)), "\r", "\n")
+    d = d.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("text").alias("text_hash"), F.array(*[v.cast("int") for v in lengths().values()]).alias("lens"), full.alias("full"))
+    d = d.withColumn("line", F.substring_index("full", "\n", -1))
+    cut = F.length("line") - F.length(F.regexp_replace("line", MARK_AT_END, ""))
     d = d.withColumn("cut", cut).withColumn("mark", (F.col("cut") > 0) & (F.col("cut") < F.length("full")))
-    d = d.withColumn("tail", F.when(F.col("mark"), F.rtrim(F.expr("left(full, length(full) - cut)"), F.lit(WHITE))).otherwise(F.col("full"))).drop("full", "cut")
-    plain = F.regexp_replace(F.right("tail", F.lit(32)), r"(?U)[\s\p{So}\p{Sk}\uFE0F\u200D]+$", "")  # a sentence may be followed by pictures
-    d = d.withColumn("plain", plain).withColumn("ended", F.col("plain").rlike(f"{STOPS}{CLOSERS}*$") & ~F.col("plain").rlike(ABBREVIATIONS))
+    d = d.withColumn("tail", F.when(F.col("mark"), F.rtrim(F.expr("left(full, length(full) - cut)"), F.lit(WHITE))).otherwise(F.col("full"))).drop("full", "cut", "line")
     d = d.withColumn("last", F.substring_index("tail", "\n", -1))
+    d = d.withColumn("ended", F.rtrim("last", F.lit(WHITE)).rlike(ENDED) & ~F.col("last").rlike(ABBREVIATED))
     d = d.withColumn("before", F.substring_index(F.rtrim(F.expr("left(tail, length(tail) - length(last))"), F.lit(WHITE)), "\n", -1))
-    said = F.regexp_replace(F.left("last", F.lit(80)), r"^\s*(?:>\s*)+", "")  # a quoted line is of the kind of what it quotes
+    said = F.regexp_replace("last", r"^\s*(?:>\s*)+", "")  # a quoted line is of the kind of what it quotes
     first = F.regexp_replace(F.substring_index(F.trim(said), " ", 1), r"(?U)[\d]+|(?<=:)//.*$", "")
-    d = d.withColumn("opening", first).withColumn("close", F.when(F.size(F.split(F.right("last", F.lit(80)), " ")) > 3, F.lower(F.substring_index("last", " ", -3))).otherwise(F.lit("")))
+    prose = F.length("last") - F.length(F.regexp_replace("last", r"[.!?。！？](?=\s)", "")) >= 2  # sentences, whatever the first of them begins with
+    d = d.withColumn("opening", F.when(prose, PROSE).otherwise(first))
+    d = d.withColumn("close", F.when(F.length("last") - F.length(F.replace("last", F.lit(" "), F.lit(""))) >= 3, F.lower(F.substring_index("last", " ", -3))).otherwise(F.lit("")))
     name = F.col("before").rlike(r"^[^.!?。]{1,24}[,，]$") & (F.length("last") < 48)
     only = (F.length("tail") < 80) & (F.col("before") == "") & F.col("last").rlike(r"^(?:[\p{Lu}\p{N}&(\"'#@][^\s]*\s*)+$")
-    trailing = F.right("tail", F.lit(60)).rlike(r"(?:\.\.\.|…)\s*[^.!?。…]{2,40}$")  # an ellipsis at both ends is a manner of speech
-    d = d.select("doc_id", "source", "text_hash", "lens", "mark", "ended", "opening", "close", name.alias("name"), (only | trailing).alias("whole"), F.right("tail", F.length("close") + 40).alias("around"))
+    trailing = F.col("last").rlike(r"(?:\.\.\.|…)\s*[^.!?。…]{2,40}$")  # an ellipsis at both ends is a manner of speech
+    d = d.select("doc_id", "source", "text_hash", "lens", "mark", "ended", "opening", "close", name.alias("name"), (only | trailing).alias("whole"), F.xxhash64("last").alias("around"))
     return stage(d, "endings")
 
 
-def limits(seen: DataFrame, least: int = 3, ratio: float = 6.0, around: int = 24, share: float = 0.02) -> DataFrame:
-    """(source, encoding, size, texts): the hidden limits, from all texts.
-
-    Copies of a text count once. A size is a limit if at least `least` different texts and `share` of the source's
-    have it, `ratio` times the mean of the sizes within `around`, and at least a third of them don't end a sentence;
-    of the encodings of one source the ones with the most texts at their size stand.
-    """
-    one = seen.groupBy("source", "text_hash").agg(F.first("lens").alias("lens"), F.max((~F.col("ended") | F.col("mark")).cast("int")).alias("open"))
-    by = one.select("source", "open", F.posexplode("lens").alias("e", "size")).groupBy("source", "e", "size").agg(F.count(F.lit(1)).alias("n"), F.sum("open").alias("open"))
+def _peaks(texts: DataFrame, total: DataFrame, least: int, ratio: float, around: int, share: float) -> DataFrame:
+    """(source, e, size, n): of each source the peaks among the sizes of `texts` with the most texts at them."""
+    by = texts.select("source", "open", F.posexplode("lens").alias("e", "size")).groupBy("source", "e", "size").agg(F.count(F.lit(1)).alias("n"), F.sum("open").alias("open"))
     high = by.where(F.col("n") >= least)
     near = high.select("source", "e", "size", "n", "open", F.explode(F.expr(f"sequence(size - {around}, size + {around})")).alias("s"))
     rest = by.select("source", "e", F.col("size").alias("s"), F.col("n").alias("m"))
     dense = near.where("s <> size").join(rest, ["source", "e", "s"], "left").groupBy("source", "e", "size", "n", "open").agg((F.sum(F.coalesce("m", F.lit(0))) / (2 * around)).alias("mean"))
     ok = dense.where((F.col("n") >= ratio * F.col("mean") + least - 1) & (F.col("open") * 3 >= F.col("n")))
-    total = by.where("e = 0").groupBy("source").agg(F.sum("n").alias("all"))
-    top = ok.groupBy("source").agg(F.max("n").alias("top")).join(total, "source").where(F.col("top") >= share * F.col("all"))
-    return ok.join(top, "source").where(F.col("n") == F.col("top")).select("source", "e", "size", "n")
+    ok = ok.join(total, "source").where(F.col("n") >= share * F.col("all"))
+    return ok.join(ok.groupBy("source").agg(F.max("n").alias("top")), "source").where(F.col("n") == F.col("top")).select("source", "e", "size", "n")
 
 
-def at_limits(seen: DataFrame) -> DataFrame:
-    """`seen` with `at`: whether the text has the size of a hidden limit of its source."""
-    lim = limits(seen).groupBy("source").agg(F.collect_list(F.struct("e", "size")).alias("limits"))
+def limits(seen: DataFrame, least: int = 3, ratio: float = 6.0, around: int = 24, share: float = 0.02) -> DataFrame:
+    """(source, encoding, size, texts): the hidden limits, from all texts.
+
+    Copies of a text count once. A size is a limit if at least `least` different texts and `share` of the source's
+    have it, `ratio` times the mean of the sizes within `around`, and at least a third of them don't end a sentence.
+    The size with the most texts stands, in whichever encodings have that many; the texts at it are taken out, and the
+    rest is looked through again until no size is left, so a source may have several limits, and none is the shadow
+    of another in a second encoding.
+    """
+    texts = stage(seen.groupBy("source", "text_hash").agg(F.first("lens").alias("lens"), F.max((~F.col("ended") | F.col("mark")).cast("int")).alias("open")), "texts")
+    total = texts.groupBy("source").agg(F.count(F.lit(1)).alias("all"))
+    found = None
+    while True:
+        got = stage(_peaks(texts, total, least, ratio, around, share), "limits")
+        if got.isEmpty():
+            return got if found is None else found
+        found = got if found is None else found.unionByName(got)
+        texts = _at(texts, got).where("not at").drop("at")
+
+
+def _at(seen: DataFrame, found: DataFrame) -> DataFrame:
+    """`seen` with `at`: whether the text has a size of `found`; in bytes up to 3 less, as a character cut in two is dropped."""
+    lim = found.groupBy("source").agg(F.collect_list(F.struct("e", "size")).alias("limits"))
     byte = [i for i, e in enumerate(ENCODINGS) if e.endswith("utf8")]
-    slack = f"if(x.e in ({', '.join(map(str, byte))}), 3, 0)"  # a character cut in two is dropped
+    slack = f"if(x.e in ({', '.join(map(str, byte))}), 3, 0)"
     at = F.coalesce(F.expr(f"exists(limits, x -> lens[x.e] between x.size - {slack} and x.size)"), F.lit(False))
-    return seen.join(stage(lim, "limits"), "source", "left").withColumn("at", at).drop("limits")
+    return seen.join(lim, "source", "left").withColumn("at", at).drop("limits")
+
+
+def at_limits(seen: DataFrame) -> DataFrame:
+    """`seen` with `at`: whether the text has the size of a hidden limit of its source."""
+    return _at(seen, limits(seen))
 
 
 def endings(seen: DataFrame) -> DataFrame:

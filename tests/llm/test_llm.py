@@ -131,6 +131,20 @@ def test_truncation_at_a_limit_outweighs_how_the_last_line_begins(spark):
     assert got == {i: "limit" for i in (*range(12), *range(20, 26), *range(30, 36))}
 
 
+def test_truncation_reads_whole_lines_and_finds_every_limit(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 9)))
+    body = lambda n: (" ".join(word() for _ in range(1200)))[:n]
+    rows = [(i, "s", body(300)) for i in range(30)] + [(40 + i, "s", body(700)) for i in range(6)] + [(60 + i, "s", body(rnd.randint(30, 900)) + " done.") for i in range(60)]
+    long_list = "- " + body(4998)  # a line of 5,000 characters is a list item, whatever stands near its end
+    rows += [(200 + i, "t", f"A sentence.\n- {body(20 + i)}") for i in range(12)] + [(300, "t", f"A sentence.\n{long_list}"), (301, "t", "So it was. " * 450 + "Then it was not as")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    lim = {(r["size"], r.n) for r in truncation.limits(truncation.inspected(df)).where("e = 0").collect()}
+    assert lim == {(300, 30), (700, 6)}
+    got = {r.doc_id: r.why for r in truncation.truncated(df).collect()}
+    assert {i for i, w in got.items() if w == "limit"} == {*range(30), *range(40, 46)} and {i for i in got if i >= 46} == {301}
+
+
 def test_names_are_attributed_and_strangers_are_not(spark):
     ents = spark.createDataFrame([("person:ann", "person", "Elizabeth Fizigupo", ["Beth Fizigupo"]), ("organization:h", "organization", "Hopo Hafoki Hotels Co.", None), ("person:n", "person", None, None)], "canon_id string, type string, canonical string, aliases array<string>")
     names = ["Elizabeth Fizigupo", "Fizigupo, Elizabeth", "E. Fizigupo", "Elizabeht Fizigupo", "beth.fizigupo", "FIZIGUPO, E.", "Robert Zanatoko", None, "", "🙏"]
