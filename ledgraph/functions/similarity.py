@@ -43,24 +43,53 @@ def token_set(a: str, b: str) -> float:
 
 
 def partial(a: str, b: str) -> float:
-    """The best indel ratio of the shorter string against windows of its length in the longer."""
+    """The best indel ratio of the shorter string against windows of its length in the longer.
+
+    A window that begins (at the left edge: ends) with a letter the shorter one lacks is left out, as the next shorter
+    or shifted one is at least as good.
+    """
     a, b = sorted((a, b), key=len)
     if not a:
         return 1.0 if not b else 0.0
-    n = len(a)
-    return max(indel(a, b[max(0, i) : i + n]) for i in range(1 - n, len(b)))
+    n, where = len(a), {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full, best = (1 << n) - 1, 0.0
+    for i in range(1 - n, len(b)):
+        w = b[max(0, i) : i + n]
+        if (w[0] if i >= 0 else w[-1]) not in where or 2 * min(n, len(w)) / (n + len(w)) <= best:
+            continue
+        v = full
+        for c in w:
+            u = v & where.get(c, 0)
+            v = ((v + u) | (v - u)) & full
+        best = max(best, 2 * (n - v.bit_count()) / (n + len(w)))
+    return best
 
 
 def weighted(a: str, b: str) -> float:
     """The greatest of plain, token and, for unlike lengths, partial ratios, the latter with their usual weights."""
+    return _weighted(a, b)[0]
+
+
+def _weighted(a: str, b: str) -> tuple[float, float, float | None]:
+    """The weighted ratio, the token sort ratio, and the partial one if it was needed."""
     if not a or not b:
-        return 0.0
-    base = indel(a, b)
+        return 0.0, token_sort(a, b), None
+    base, by_sort = indel(a, b), token_sort(a, b)
+    tokens = max(by_sort, token_set(a, b))
     ratio = max(len(a), len(b)) / min(len(a), len(b))
     if ratio < 1.5:
-        return max(base, 0.95 * max(token_sort(a, b), token_set(a, b)))
-    scale = 0.9 if ratio <= 8 else 0.6
-    return max(base, scale * partial(a, b), 0.95 * scale * max(token_sort(a, b), token_set(a, b)))
+        return max(base, 0.95 * tokens), by_sort, None
+    scale, part = 0.9 if ratio <= 8 else 0.6, partial(a, b)
+    return max(base, scale * part, 0.95 * scale * tokens), by_sort, part
+
+
+def best_ratio(a: str, b: str) -> float:
+    """The greatest of the weighted, the token sort and 0.95 of the partial ratio; the latter only where it can be it."""
+    w, by_sort, part = _weighted(a, b)
+    best = max(w, by_sort)
+    return best if best >= 0.95 else max(best, 0.95 * (partial(a, b) if part is None else part))
 
 
 def jaro(a: str, b: str) -> float:
@@ -101,5 +130,5 @@ def _udf(f):
     return run
 
 
-SIMILARITIES = {"indel": indel, "token_sort": token_sort, "token_set": token_set, "partial": partial, "weighted": weighted, "jaro_winkler": jaro_winkler}
+SIMILARITIES = {"indel": indel, "token_sort": token_sort, "token_set": token_set, "partial": partial, "weighted": weighted, "jaro_winkler": jaro_winkler, "best": best_ratio}
 UDFS = {k: _udf(f) for k, f in SIMILARITIES.items()}

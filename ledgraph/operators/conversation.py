@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,7 +29,7 @@ def episodes(turns_: DataFrame, window: int = 4, stride: int | None = None) -> D
     t = t.withColumn("last", last).withColumn("start", F.explode(F.array_distinct(F.concat(starts.cast("array<int>"), tail))))
     said = F.concat_ws(": ", "speaker", "said")
     w = t.groupBy("session_id", "start").agg(F.count(F.lit(1)).alias("n_turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("s")))), lambda x: x["s"]), "\n").alias("text"))
-    return w.select(F.concat(F.col("session_id"), F.lit(":w"), F.lpad(F.col("start").cast("string"), 2, "0")).alias("doc_id"), "session_id", F.col("start").alias("turn_start"), "n_turns", "text")
+    return w.select(F.concat(F.col("session_id"), F.lit(":w"), F.when(F.col("start") < 10, "0").otherwise(""), F.col("start").cast("string")).alias("doc_id"), "session_id", F.col("start").alias("turn_start"), "n_turns", "text")
 
 
 def recent_people(mentions: DataFrame, back: int = 3) -> DataFrame:
@@ -56,24 +53,55 @@ def roster(turns_: DataFrame) -> DataFrame:
     return full.withColumn("given", F.split("full", " ")[0]).groupBy("given").agg(F.min("full").alias("full"), F.count(F.lit(1)).alias("n")).where("n = 1").select("given", "full")
 
 
-_FIRST = re.compile(r"\b(?:I|me|myself)\b")
-_MINE = re.compile(r"\b(?:my|mine)\b", re.I)
-_SHORT = {"I'm": "I am", "I've": "I have", "I'll": "I will", "I'd": "I would"}
+#: Words of the first and third person, and contractions that hide them.
+SUBJECT, POSSESSIVE = "i|me|myself", "my|mine"
+CONTRACTIONS = (("I'm", "I am"), ("I've", "I have"), ("I'll", "I will"), ("I'd", "I would"))
+THIRD, THIRD_POSSESSIVE = "he|she|him|her|they|them|his|hers|their|theirs", ("his", "hers", "their", "theirs")
+
+
+def _literal(c: Column) -> Column:
+    """A value as it may stand in a replacement of regexp_replace."""
+    return F.regexp_replace(c, r"([\\$])", r"\\$1")
 
 
 def first_person(turns_: DataFrame) -> DataFrame:
-    """Turns whose first person is replaced by the speaker's name; turns without a speaker stay as they are."""
-    schema = pa.schema([("session_id", pa.string()), ("turn", pa.int32()), ("speaker", pa.string()), ("said", pa.string())])
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for who, said in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if who and said:
-                    for a, x in _SHORT.items():
-                        said = said.replace(a, x).replace(a.replace("'", "’"), x)
-                    said = _MINE.sub(f"{who}'s", _FIRST.sub(who, said))
-                out.append(said)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), b.column(2), pa.array(out, pa.string())], schema=schema)
-
-    return turns_.select("session_id", "turn", "speaker", "said").mapInArrow(run, "session_id string, turn int, speaker string, said string")
+    """Turns whose first person is replaced by the speaker's name; turns without a speaker stay as they are.
+
+    Contractions are opened first; plurals are left alone. All of it runs inside the JVM; a name is never read as a
+    pattern or a replacement.
+    """
+    said = F.replace("said", F.lit("’"), F.lit("'"))
+    for short, long_ in CONTRACTIONS:
+        said = F.regexp_replace(said, rf"(?U)\b{short}\b", long_)
+    who = _literal(F.col("speaker"))
+    said = F.regexp_replace(said, F.lit(rf"(?iU)\b(?:{POSSESSIVE})\b(?!'\w)"), F.concat(who, F.lit("'s")))
+    said = F.regexp_replace(said, F.lit(rf"(?iU)\b(?:{SUBJECT})\b(?!'\w)"), who)
+    return turns_.select("session_id", "turn", "speaker", F.when(F.col("speaker").isNotNull(), said).otherwise(F.col("said")).alias("said"))
+
+
+def full_names(turns_: DataFrame, names: DataFrame) -> DataFrame:
+    """Turns whose capitalised given names of `names` (given, full) become full ones, unless the turn has that full name.
+
+    Each turn meets only the names among its own words, by a join on the word.
+    """
+    words = turns_.select("session_id", "turn", F.explode(F.array_distinct(F.regexp_extract_all("said", F.lit(r"(?U)\b\p{Lu}\w*"), F.lit(0)))).alias("given"))
+    hits = words.join(names.select("given", "full").distinct(), "given").groupBy("session_id", "turn").agg(F.sort_array(F.collect_list(F.struct("given", "full"))).alias("names"))
+    t = turns_.join(hits, ["session_id", "turn"], "left")
+    one = lambda acc, n: F.when(F.contains(F.lower(acc), F.lower(n["full"])), acc).otherwise(F.regexp_replace(acc, F.concat(F.lit(r"(?U)\b\Q"), n["given"], F.lit(r"\E\b")), _literal(n["full"])))
+    said = F.aggregate("names", F.col("said"), one)
+    return t.select("session_id", "turn", "speaker", F.when(F.col("names").isNull(), F.col("said")).otherwise(said).alias("said"))
+
+
+def bound_pronouns(turns_: DataFrame, people: DataFrame) -> DataFrame:
+    """Turns whose sentences' leading third-person pronouns become the one person of `people` (session_id, turn, person), where there is one."""
+    t = turns_.join(people, ["session_id", "turn"], "left")
+    lead, who = r"(?imU)(^|(?<=[.!?]\s))", _literal(F.col("person"))
+    said = F.regexp_replace("said", F.lit(rf"{lead}(?:{'|'.join(THIRD_POSSESSIVE)})\b"), F.concat(who, F.lit("'s")))
+    said = F.regexp_replace(said, F.lit(rf"{lead}(?:{THIRD})\b"), who)
+    return t.select("session_id", "turn", "speaker", F.when(F.col("person").isNull(), F.col("said")).otherwise(said).alias("said"))
+
+
+def user_mentions(mentions: DataFrame, user: str) -> DataFrame:
+    """(mention_id) of mentions of a person that stand for the user: the name itself or a part of it, whatever the case."""
+    t, u = F.lower(F.trim("text")), F.lit(user.lower())
+    return mentions.where((F.col("type").isin("person", "user")) & (t != "") & ((t == u) | F.array_contains(F.split(u, r"\s+"), t))).select("mention_id").distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,16 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgraph.operators.ranking import numbered
+from ledgraph.sources.tables import stage
+
 
 def start():
     return F.coalesce("valid_from", "recorded_at")
 
 
 def unique_facts(facts: DataFrame) -> DataFrame:
-    """Each fact_id once, with the greatest confidence and support of its copies."""
-    keep = [c for c in facts.columns if c not in ("fact_id", "confidence", "support")]
-    w = facts.groupBy("fact_id").agg(F.max("confidence").alias("confidence"), F.max("support").alias("support"), *[F.max(c).alias(c) for c in keep])
-    return w.select(*facts.columns)
+    """Each fact_id once: the copy of greatest support, then confidence, then the greatest of the rest; no row is put together from two."""
+    rest = [c for c in facts.columns if c not in ("fact_id", "support", "confidence")]
+    best = facts.groupBy("fact_id").agg(F.max(F.struct("support", "confidence", *rest)).alias("_b"))
+    return best.select("fact_id", "_b.*").select(*facts.columns)
 
 
 def current(facts: DataFrame, head: str | None = None) -> DataFrame:
@@ -45,13 +49,27 @@ def accumulate(facts: DataFrame) -> DataFrame:
     )
 
 
-def islands(facts: DataFrame, keys: list[str]) -> DataFrame:
-    """The fold of relations of one value at a time: runs of equal tails collapse, the next run's start ends one."""
-    o = W.partitionBy(*keys).orderBy("s", "recorded_at", "tail")
-    f = facts.withColumn("s", start()).where("s is not null")
-    f = f.withColumn("new", F.when(F.lag("tail").over(o).eqNullSafe(F.col("tail")), 0).otherwise(1)).withColumn("run", F.sum("new").over(o))
-    runs = f.groupBy(*keys, "run").agg(F.min("tail").alias("tail"), F.min("s").alias("valid_from"), F.max("confidence").alias("confidence"), F.sum("support").cast("long").alias("support"))
-    return runs.withColumn("valid_until", F.lead("valid_from").over(W.partitionBy(*keys).orderBy("run"))).drop("run")
+def islands(facts: DataFrame, keys: list[str], bucket: str = "month") -> DataFrame:
+    """The fold of relations of one value at a time: runs of equal tails collapse, the next run's start ends one.
+
+    Facts are numbered in their key through time buckets, so a busy key is spread; each is held against the one before
+    by a join, and the runs are numbered the same way. Facts without a start are left out.
+    """
+    f = facts.withColumn("s", start()).where("s is not null").withColumn("slot", F.date_trunc(bucket, F.col("s")))
+    f = stage(numbered(f.select(*keys, "s", "slot", "recorded_at", "tail", "fact_id", "confidence", "support"), keys, [F.col("s"), F.col("recorded_at"), F.col("tail"), F.col("fact_id")], F.col("slot"), "pos"), "numbered")
+    same = lambda l, r, on: on & functools.reduce(lambda c, k: c & l[k].eqNullSafe(r[f"_{k}"]), keys, F.lit(True))
+    before = f.select(*[F.col(k).alias(f"_{k}") for k in keys], (F.col("pos") + 1).alias("_pos"), F.col("tail").alias("_tail"))
+    opens = f.join(before, same(f, before, f["pos"] == before["_pos"]), "left").where(F.col("_pos").isNull() | ~F.col("tail").eqNullSafe(F.col("_tail"))).select(*keys, "s", "slot", "tail", "pos")
+    runs = stage(numbered(opens, keys, [F.col("pos")], F.col("slot"), "run"), "runs")
+    nxt = runs.select(*[F.col(k).alias(f"_{k}") for k in keys], (F.col("run") - 1).alias("_run"), F.col("pos").alias("until"), F.col("s").alias("valid_until"))
+    runs = runs.join(nxt, same(runs, nxt, runs["run"] == nxt["_run"]), "left").select(*keys, "run", "pos", "until", "tail", F.col("s").alias("valid_from"), "valid_until")
+    # The run of a fact: the last one of its slot that opened at or before it, else the last run of an earlier slot.
+    r = runs.select(*[F.col(k).alias(f"_{k}") for k in keys], "run", F.col("pos").alias("lo"), F.coalesce("until", F.lit(2**62)).alias("hi"))
+    slots = f.groupBy(*keys, "slot").agg(F.min("pos").alias("p0"), F.max("pos").alias("p1"))
+    meets = slots.join(r, same(slots, r, (F.col("lo") <= F.col("p1")) & (F.col("hi") > F.col("p0")))).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("slot").alias("_slot"), "run", "lo", "hi")
+    m = f.join(meets, same(f, meets, f["slot"].eqNullSafe(meets["_slot"]) & (F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi"))))
+    sums = m.groupBy(*keys, "run").agg(F.max("confidence").alias("confidence"), F.sum("support").cast("long").alias("support")).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("run").alias("_run"), "confidence", "support")
+    return runs.join(sums, same(runs, sums, runs["run"] == sums["_run"])).select(*keys, "tail", "valid_from", "confidence", "support", "valid_until")
 
 
 def contradictions(facts: DataFrame) -> DataFrame:
@@ -99,8 +117,9 @@ def assert_facts(facts: DataFrame, policy: DataFrame, alternatives: DataFrame |
     """The store after asserting `facts` in order of recorded_at, by each relation's policy (single, alternatives, accumulate).
 
     `alternatives` (a, b) holds pairs of tails that exclude each other, read once and bounded by the vocabulary of a
-    relation's values. The order within a head and relation matters for alternatives, so a group is one task; the
-    policies that have closed forms, `islands` and `accumulate`, have no such bound and serve busy heads.
+    relation's values. The order within a head and relation matters for alternatives, so a group is one task, for which
+    this fold is only meant where a head has thousands of facts at most; `islands` and `accumulate`, the closed forms
+    of the other policies, spread a busy head over many tasks. Undecided pairs are those of `candidate_pairs`.
     """
     pairs = None if alternatives is None else {(r.a, r.b) for r in alternatives.distinct().toLocalIterator()}
     f = unique_facts(facts).join(policy.select("relation", "policy").distinct(), "relation", "left").select(
@@ -130,6 +149,60 @@ def memory_prompt(facts: DataFrame, per_relation: int = 3) -> DataFrame:
     return line.groupBy("head").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "relation", "vals"))), "\n").alias("prompt"))
 
 
+def graph_alternatives(edges: DataFrame, entities: DataFrame, least: float = 0.5) -> DataFrame:
+    """(a, b): names that exclude each other, both ways, as edges of type `replaces` say."""
+    n = entities.groupBy("canon_id").agg(F.min(F.lower("canonical")).alias("name"))
+    e = edges.where((F.col("type") == "replaces") & (F.col("confidence") >= least)).select("head", "tail").distinct()
+    p = e.join(n.select(F.col("canon_id").alias("head"), F.col("name").alias("a")), "head").join(n.select(F.col("canon_id").alias("tail"), F.col("name").alias("b")), "tail").select("a", "b")
+    return p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
+def explicit_alternatives(groups: DataFrame) -> DataFrame:
+    """(name, group_no) of groups (group_no, names): two names exclude each other if they stand in one group; of several the last counts."""
+    return groups.select("group_no", F.explode("names").alias("n")).groupBy(F.lower("n").alias("name")).agg(F.max("group_no").alias("group_no"))
+
+
+def vector_alternatives(vectors: DataFrame, least: float = 0.55, k: int = 50) -> DataFrame:
+    """(a, b), both ways: names of vectors (name, kind, vector) of one kind with a cosine of `least` or more, among each one's `k` nearest."""
+    from ledgraph.operators.resolution import knn_pairs
+
+    p = knn_pairs(vectors, "name", "vector", "kind", k).where(F.col("cosine") >= least).select("a", "b")
+    return p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def candidate_pairs(facts: DataFrame, policy: DataFrame) -> DataFrame:
+    """(head, relation, old, new, same_type): the queue of current values that may exclude each other, undecided.
+
+    Of relations of policy `alternatives` or `single` with several current tails: each tail with the one that began
+    before it (by start, then tail), which links all of them without all their pairs.
+    """
+    f = current(facts).join(policy.where("policy <> 'accumulate'").select("relation").distinct(), "relation", "left_semi")
+    t = f.groupBy("head", "relation", "tail").agg(F.min(start()).alias("s"), F.min("tail_type").alias("kind"))
+    w = W.partitionBy("head", "relation").orderBy("s", "tail")
+    return t.select("head", "relation", F.lag("tail").over(w).alias("old"), F.col("tail").alias("new"), (F.lag("kind").over(w) == F.col("kind")).alias("same_type")).where("old is not null")
+
+
+def revived(facts: DataFrame) -> DataFrame:
+    """(head, relation, tail) that were superseded and are current again."""
+    k = ["head", "relation", "tail"]
+    return facts.where("superseded_at is not null").select(*k).distinct().join(current(facts).select(*k).distinct(), k, "left_semi")
+
+
+def by_episode(edges: DataFrame) -> DataFrame:
+    """(episode_id, head, type, tail, confidence, support): evidence of edges with `evidence` (array of structs with doc_id and confidence) put back in its episodes."""
+    e = edges.select("head", "type", "tail", F.explode("evidence").alias("e"))
+    return e.groupBy(F.col("e.doc_id").alias("episode_id"), "head", "type", "tail").agg(F.max("e.confidence").alias("confidence"), F.count(F.lit(1)).alias("support"))
+
+
+def ingest_report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: facts inserted, corroborated and superseded between two states of a store."""
+    b = before.select("fact_id", F.col("support").alias("s0"), F.col("superseded_at").alias("e0"))
+    j = after.select("fact_id", "support", "superseded_at").join(b, "fact_id", "left")
+    return j.agg(
+        F.count_if(F.col("s0").isNull()).alias("inserted"), F.count_if(F.col("support") > F.col("s0")).alias("corroborated"), F.count_if(F.col("superseded_at").isNotNull() & F.col("e0").isNull()).alias("superseded")
+    )
+
+
 def open_conflicts(facts: DataFrame, policy: DataFrame) -> DataFrame:
     """(head, relation, n_tails): single-valued keys that hold several current tails."""
     single = policy.where("policy = 'single'").select("relation")

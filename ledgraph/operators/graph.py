@@ -41,6 +41,92 @@ def collapse_edges(evidence: DataFrame, top: int = 3) -> DataFrame:
     )
 
 
+SPAN = ("doc_id", "confidence", "snippet", "span_start", "span_end")
+
+
+def build_graph(edges: DataFrame, mention_to_canon: DataFrame, pins: DataFrame | None = None, top: int = 3) -> DataFrame:
+    """Canonical edges with evidence from occurrences (head, type, tail: mention ids; doc_id, confidence, derived, snippet, span_start, span_end)."""
+    return evidence_edges(resolve_edges(edges, mention_to_canon, pins), top)
+
+
+def evidence_edges(occurrences: DataFrame, top: int = 3) -> DataFrame:
+    """`collapse_edges` with `evidence`: the `top` strongest occurrences as structs (confidence, doc_id, snippet, span_start, span_end).
+
+    All occurrences stay in `occurrences`, which `evidence_of` reads; an edge carries a bounded number of them, so
+    an edge of any support is a small row. Ties go to the smaller doc_id and span.
+    """
+    rn = F.row_number().over(W.partitionBy(*EDGE).orderBy(F.col("confidence").desc_nulls_last(), "doc_id", "span_start", "span_end", "snippet"))
+    best = occurrences.withColumn("rn", rn).where(F.col("rn") <= top).groupBy(*EDGE).agg(F.array_sort(F.collect_list(F.struct("rn", *SPAN))).alias("e"))
+    best = best.select(*EDGE, F.expr(f"transform(e, x -> named_struct({', '.join(f'{chr(39)}{c}{chr(39)}, x.{c}' for c in SPAN)}))").alias("evidence"))
+    return collapse_edges(occurrences, top).join(best, EDGE)
+
+
+def evidence_of(occurrences: DataFrame, entities: DataFrame, head: str, relation: str, tail: str) -> DataFrame:
+    """The occurrences of one edge, its ends given by canonical name or alias whatever the case, strongest first."""
+    h, t = find(entities, head).select(F.col("canon_id").alias("head")), find(entities, tail).select(F.col("canon_id").alias("tail"))
+    return occurrences.where(F.col("type") == relation).join(h, "head", "left_semi").join(t, "tail", "left_semi").orderBy(F.col("confidence").desc(), "doc_id")
+
+
+def pinned_entities(members: DataFrame, pin_names: DataFrame) -> DataFrame:
+    """Members (component, id, ...) of pinned components under their pin: (component, ..., canon_id, canonical); pin_names has (mention_id, canon_id, name)."""
+    pin = members.join(pin_names.select(F.col("mention_id").alias("id"), "canon_id", "name"), "id").groupBy("component").agg(F.min(F.struct("canon_id", "name")).alias("p"))
+    return members.join(pin, "component").select(*members.columns, F.col("p.canon_id").alias("canon_id"), F.col("p.name").alias("canonical"))
+
+
+def folded_facts(occurrences: DataFrame, snippets: int = 2) -> DataFrame:
+    """(head, type, tail, confidence, support, quotes) of occurrences: what is written to a fact store, `replaces` first, then by confidence."""
+    distinct = occurrences.groupBy(*EDGE, "snippet").agg(F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"))
+    rn = F.row_number().over(W.partitionBy(*EDGE).orderBy(F.col("confidence").desc(), "snippet"))
+    r = distinct.withColumn("rn", F.when(F.col("snippet").isNotNull(), rn))
+    f = r.groupBy(*EDGE).agg(F.max("confidence").alias("confidence"), F.sum("n").alias("support"), F.array_sort(F.collect_list(F.when(F.col("rn") <= snippets, F.struct("rn", "snippet")))).alias("q"))
+    return f.select(*EDGE, "confidence", "support", F.col("q.snippet").alias("quotes")).orderBy(F.col("type") != "replaces", F.col("confidence").desc(), *EDGE)
+
+
+def by_attr(entities: DataFrame, attr: str, value: str) -> DataFrame:
+    """Entities whose map `attrs` has `value` under `attr`, be it a plain value or an object in JSON with a `label`."""
+    v = F.col("attrs")[attr]
+    return entities.where((v == value) | (F.get_json_object(v, "$.label") == value))
+
+
+def out_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    return edges.join(ids.select(F.col("id").alias("head")).distinct(), "head", "left_semi")
+
+
+def in_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    return edges.join(ids.select(F.col("id").alias("tail")).distinct(), "tail", "left_semi")
+
+
+def grounded(edges: DataFrame, mentions: DataFrame, unreal: tuple[str, ...] = ("hypothetical", "negated", "forecast")) -> DataFrame:
+    """Edges (ends are mention ids) without one whose mention has an unreal `modality`."""
+    bad = mentions.where(F.col("modality").isin(*unreal)).select("mention_id").distinct()
+    return edges.join(bad.withColumnRenamed("mention_id", "head"), "head", "left_anti").join(bad.withColumnRenamed("mention_id", "tail"), "tail", "left_anti")
+
+
+#: Relations that tie the graph to its texts and tell nothing of the world.
+LEXICAL = ("MENTIONED_IN", "FROM_CHUNK", "FROM_DOCUMENT", "NEXT_CHUNK", "PART_OF_DOCUMENT")
+
+
+def knowledge_edges(edges: DataFrame, lexical: bool = False) -> DataFrame:
+    """The edges that tell of the world, or those that tie it to texts."""
+    of_text = F.upper("type").isin(*LEXICAL)
+    return edges.where(of_text if lexical else ~of_text)
+
+
+def document_links(mentions: DataFrame, mention_to_canon: DataFrame, documents: DataFrame) -> DataFrame:
+    """(canon_id, doc_id, n): the MENTIONED_IN links to known documents."""
+    m = mentions.select("mention_id", "doc_id").distinct().join(mention_to_canon, "mention_id")
+    return m.join(documents.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("canon_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def together(links: DataFrame, most: int | None = None) -> DataFrame:
+    """(a, b, n_docs): entities of links (canon_id, doc_id) in the same documents; with `most`, documents of more entities than that are left out and must be reported by the caller."""
+    d = links.select("canon_id", "doc_id").distinct()
+    if most is not None:
+        d = d.join(d.groupBy("doc_id").count().where(F.col("count") <= most).select("doc_id"), "doc_id", "left_semi")
+    p = d.withColumnRenamed("canon_id", "a").join(d.withColumnRenamed("canon_id", "b"), "doc_id").where("a < b")
+    return p.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
 def strong(edges: DataFrame, confidence: float = 0.0, support: int = 1, relation: str | None = None) -> DataFrame:
     keep = edges.where((F.col("confidence") >= confidence) & (F.col("support") >= support))
     return keep if relation is None else keep.where(F.col("type") == relation)
@@ -105,14 +191,49 @@ def chains(edges: DataFrame, hops: int) -> DataFrame:
     return out.withColumn("length", F.size("path") - 1)
 
 
-def exposure(edges: DataFrame, entities: DataFrame) -> DataFrame:
-    """(a, b, via): pairs a < b that share neighbours, and how many; nodes of great degree are split by their neighbours' pairs.
+def from_roots(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """Paths whose start nobody holds: no edge leads into it."""
+    return paths.join(edges.where("head <> tail").select(F.col("tail").alias("start")).distinct(), "start", "left_anti")
+
+
+def exposure(edges: DataFrame, names: int = 3, per: int = 1000) -> DataFrame:
+    """(a, b, via, through): pairs a < b that share neighbours, how many, and the first `names` of these.
 
-    Over distinct undirected edges; both joins are equi-joins on the node between.
+    Over distinct undirected edges. A node of more than `per` neighbours is split into groups of about `per` by hash,
+    and each two of its groups, and each with itself, meet in a cell of their own, so no task holds all pairs of a hub.
     """
-    n = neighbors(edges)
-    two = n.select(F.col("id").alias("mid"), F.col("neighbor").alias("a")).join(n.select(F.col("id").alias("mid"), F.col("neighbor").alias("b")), "mid").where("a < b")
-    return two.groupBy("a", "b").agg(F.count(F.lit(1)).alias("via"))
+    n = neighbors(edges).select(F.col("id").alias("mid"), F.col("neighbor").alias("x"))
+    hubs = n.groupBy("mid").agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias("s")).where("s > 1")
+    n = n.join(hubs, "mid", "left").withColumn("s", F.coalesce("s", F.lit(1))).withColumn("g", F.expr("cast(pmod(xxhash64(x), s) as int)"))
+    l = n.select("mid", F.col("x").alias("p"), F.col("g").alias("i"), F.explode(F.expr("sequence(g, s - 1)")).alias("j"))
+    r = n.select("mid", F.col("x").alias("q"), F.col("g").alias("j"), F.explode(F.expr("sequence(0, g)")).alias("i"))
+    two = l.join(r, ["mid", "i", "j"]).where("i < j or p < q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "mid")
+    two = two.groupBy("a", "b").agg(F.count(F.lit(1)).alias("via"), F.array_sort(F.expr(f"collect_set(mid)")).alias("all"))
+    return two.select("a", "b", "via", F.slice("all", 1, names).alias("through"))
+
+
+def two_hops_to(edges: DataFrame, marked: DataFrame) -> DataFrame:
+    """(id, hops): nodes one or two undirected hops from a marked one (column id), itself left out."""
+    n = neighbors(edges).where("id <> neighbor")
+    one = n.join(marked.select("id").distinct(), "id", "left_semi").select(F.col("neighbor").alias("id")).distinct().join(marked.select("id"), "id", "left_anti")
+    two = n.join(one, "id", "left_semi").select(F.col("neighbor").alias("id")).distinct().join(marked.select("id"), "id", "left_anti").join(one, "id", "left_anti")
+    return one.withColumn("hops", F.lit(1)).unionByName(two.withColumn("hops", F.lit(2)))
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, most: int = 5) -> DataFrame:
+    """(source, id, path, distance): one shortest undirected path, the smallest by its nodes, to each node within `most` hops.
+
+    Each round every new node keeps the smallest path that reached it, by a map-side minimum.
+    """
+    n = stage(neighbors(edges), "neighbors")
+    seen = front = sources.select(F.col("id").alias("source"), F.col("id"), F.array("id").alias("path")).distinct()
+    for _ in range(most):
+        step = front.withColumnRenamed("id", "at").join(n.withColumnRenamed("id", "at"), "at").groupBy("source", F.col("neighbor").alias("id")).agg(F.min(F.concat("path", F.array("neighbor"))).alias("path"))
+        front = stage(step.join(seen.select("source", "id"), ["source", "id"], "left_anti"), "front")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen.withColumn("distance", F.size("path") - 1)
 
 
 def distances(edges: DataFrame, sources: DataFrame, most: int = 5) -> DataFrame:

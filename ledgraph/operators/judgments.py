@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgraph.operators.resolution import components
+from ledgraph.sources.tables import listing, stage
+
 
 def cache_key(*parts: Column) -> Column:
     """The content address of a model call."""
@@ -64,3 +67,39 @@ def route(score: Column, reject: float, accept: float) -> Column:
 
 def call_accounting(calls: DataFrame) -> DataFrame:
     return calls.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.count_if("cached").alias("hits"), F.sum("cost_usd").alias("cost"), F.avg(F.when(~F.col("cached"), F.col("duration_ms"))).alias("mean_ms"))
+
+
+CALL = "cache_key string, model string, asked_at timestamp, cached boolean, cost_usd double, duration_ms double, answer string"
+
+
+def record_calls(answers: DataFrame, path: str) -> None:
+    """Add answers (CALL) with where they come from to the cache at `path`; a key that is there already isn't written again."""
+    spark = answers.sparkSession
+    new = answers.select(*[c.split()[0] for c in CALL.split(", ")]).dropDuplicates(["cache_key"])
+    if listing(spark, path):
+        new = stage(new.join(spark.read.schema(CALL).parquet(path).select("cache_key"), "cache_key", "left_anti"), "calls")
+    new.write.mode("append").parquet(path)
+
+
+def two_questions(judgments: DataFrame, least: float = 0.5) -> DataFrame:
+    """`judgments` (p_fact, p_agree) with the flags fact, agrees and keep, which needs both."""
+    return judgments.withColumn("fact", F.col("p_fact") >= least).withColumn("agrees", F.col("p_agree") >= least).withColumn("keep", F.col("fact") & F.col("agrees"))
+
+
+def edges_in_band(judgments: DataFrame, low: float, high: float) -> DataFrame:
+    """Judgments of which either probability is unsure."""
+    return judgments.where(F.col("p_fact").between(low, high) | F.col("p_agree").between(low, high))
+
+
+def retyped(mentions: DataFrame, types: DataFrame) -> DataFrame:
+    """`mentions` with the type that each distinct (text, type) was judged to have (text, type, new_type), and `changed`."""
+    t = types.groupBy("text", "type").agg(F.min("new_type").alias("new_type"))
+    j = mentions.join(t, ["text", "type"], "left")
+    return j.withColumn("changed", F.coalesce(F.col("new_type") != F.col("type"), F.lit(False))).withColumn("type", F.coalesce("new_type", "type")).drop("new_type")
+
+
+def applied(members: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(id, cluster): a clustering (id, cluster) after pairs of clusters (a, b) that were judged the same are put together."""
+    c = components(verdicts.select("a", "b"))
+    j = members.join(c.withColumnRenamed("id", "cluster"), "cluster", "left")
+    return j.select("id", F.coalesce("component", "cluster").alias("cluster"))

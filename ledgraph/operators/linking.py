@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgraph.functions.names import folded
+from ledgraph.functions.names import casefold, folded
+from ledgraph.functions.similarity import UDFS
 
 
 def link(surfaces: DataFrame, vocabulary: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
@@ -35,9 +37,9 @@ def link(surfaces: DataFrame, vocabulary: DataFrame, kinds: dict[str, str] | Non
 
 def coverage(links: DataFrame) -> DataFrame:
     """One row: considered, linked, by rung, distinct keys, and the first twelve surfaces that stay unlinked."""
-    miss = F.slice(F.array_sort(F.collect_set(F.when(F.col("key").isNull(), F.col("text")))), 1, 12)
+    miss = links.where("key is null and text is not null").select("text").distinct().orderBy("text").limit(12).agg(F.array_sort(F.collect_list("text")).alias("unlinked"))
     n = lambda how: F.count_if(F.col("how") == how).alias(f"by_{how}")
-    return links.agg(F.count(F.lit(1)).alias("considered"), F.count("key").alias("linked"), n("code"), n("name"), n("alias"), F.countDistinct("key").alias("keys"), miss.alias("unlinked"))
+    return links.agg(F.count(F.lit(1)).alias("considered"), F.count("key").alias("linked"), n("code"), n("name"), n("alias"), F.countDistinct("key").alias("keys")).join(miss)  # one row each
 
 
 def gold_by_alias(mentions: DataFrame, groups: DataFrame) -> DataFrame:
@@ -46,14 +48,77 @@ def gold_by_alias(mentions: DataFrame, groups: DataFrame) -> DataFrame:
     return mentions.select("mention_id", F.trim("text").alias("t")).join(g, "t").select("mention_id", "gold")
 
 
-def near_spans(left: DataFrame, right: DataFrame, by: list[str], at: str, tolerance: int, order: Column) -> DataFrame:
-    """The first row of `right` for each row of `left` with equal `by` and `at` within `tolerance`; a band join by cells."""
+def near_spans(left: DataFrame, right: DataFrame, by: list[str], at: str, tolerance: int, order: Column, key: str = "mention_id") -> DataFrame:
+    """The first row of `right` by `order` for each row of `left` (id `key`) with equal `by` and `at` within `tolerance`; a band join by cells."""
+    near = spans_within(left, right, by, at, tolerance)
+    return near.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(order))).where("rn = 1").drop("rn")
+
+
+def spans_within(left: DataFrame, right: DataFrame, by: list[str], at: str, tolerance: int) -> DataFrame:
+    """All rows of `right` with equal `by` and `at` (as r_at) within `tolerance` of a row of `left`, by cells of that width."""
     cell = F.floor(F.col(at) / (tolerance + 1))
     l = left.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
     r = right.withColumn("cell", cell).withColumnRenamed(at, "r_at")
     return l.join(r, [*by, "cell"]).where(F.abs(F.col(at) - F.col("r_at")) <= tolerance).drop("cell")
 
 
+def overlapping(spans: DataFrame, units: DataFrame) -> DataFrame:
+    """`spans` (doc_id, lo, hi) with each unit (doc_id, unit_no, unit_start, unit_end) that has a character in common."""
+    return spans.join(units, "doc_id").where("unit_end > lo and unit_start < hi")
+
+
+def edge_windows(edges: DataFrame, units: DataFrame, docs: DataFrame) -> DataFrame:
+    """(edge_id, window): the text of the sentences that the span from an edge's first to its last end (doc_id, edge_id, lo, hi) touches."""
+    w = overlapping(edges, units).groupBy("doc_id", "edge_id").agg(F.min("unit_start").alias("a"), F.max("unit_end").alias("b"))
+    return w.join(docs.select("doc_id", "text"), "doc_id").select("edge_id", F.expr("substring(text, a + 1, b - a)").alias("window"))
+
+
+def alias_table(df: DataFrame, col: str, aliases: DataFrame, out: str) -> DataFrame:
+    """`df` with `out`: the canonical name of a surface by a table (surface, canonical), the surface itself where it has none."""
+    a = aliases.groupBy(F.lower(F.trim("surface")).alias("_s")).agg(F.min("canonical").alias("_c"))
+    return df.withColumn("_s", F.lower(F.trim(col))).join(a, "_s", "left").withColumn(out, F.coalesce("_c", col)).drop("_s", "_c")
+
+
+def fuzzy(unlinked: DataFrame, vocabulary: DataFrame, least: float = 0.9) -> DataFrame:
+    """(text, key, score): for surfaces that no exact rung links, the name or alias most like it, of `least` or more.
+
+    Surfaces meet names that share a word or, with a letter left out, one of five letters or more, so a typo in any
+    word but a short one is met. Ties go to the smaller key.
+    """
+    def tokens(c):
+        w = F.filter(F.split(folded(F.col(c)), " "), lambda x: F.length(x) > 1)
+        short = F.flatten(F.transform(F.filter(w, lambda x: F.length(x) >= 5), lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))))
+        return F.array_distinct(F.concat(w, short))
+
+    names = vocabulary.select("key", F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where("name is not null").distinct()
+    v = names.withColumn("t", F.explode(tokens("name")))
+    s = unlinked.where("text is not null").select("text").distinct().withColumn("t", F.explode(tokens("text")))
+    p = s.join(v, "t").select("text", "key", "name").distinct()
+    p = p.withColumn("score", UDFS["weighted"](folded(F.col("text")), folded(F.col("name")))).where(F.col("score") >= least)
+    best = p.groupBy("text").agg(F.min(F.struct((-F.col("score")).alias("n"), F.col("key"))).alias("b"))
+    return best.select("text", F.col("b.key").alias("key"), (-F.col("b.n")).alias("score"))
+
+
+def pins(links: DataFrame, prefix: str = "") -> DataFrame:
+    """(mention_id, canon_id) of the linked mentions: where the graph is to put them."""
+    return links.where("key is not null").select("mention_id", F.concat(F.lit(prefix), "key").alias("canon_id")).distinct()
+
+
+def widened(mentions: DataFrame) -> DataFrame:
+    """(a, b): pairs of different types with an acronym-shaped text at one end that may stand for the other's, or of equal folded text.
+
+    An acronym meets the mentions of another type that begin with its first letter, not all of them: else the pairs
+    would be as many as acronyms times mentions.
+    """
+    m = mentions.where("text is not null and type is not null").select("mention_id", "type", "text").distinct()
+    acro = m.where(F.col("text").rlike("^[A-Z][A-Z&.]{1,5}$")).select(F.col("mention_id").alias("x"), F.col("type").alias("tx"), F.lower(F.substring("text", 1, 1)).alias("k"))
+    rest = m.select(F.col("mention_id").alias("y"), F.col("type").alias("ty"), F.lower(F.substring(F.trim("text"), 1, 1)).alias("k"))
+    low = m.select("mention_id", "type", casefold(F.col("text")).alias("k"))
+    same = low.select(F.col("mention_id").alias("x"), F.col("type").alias("tx"), "k").join(low.select(F.col("mention_id").alias("y"), F.col("type").alias("ty"), "k"), "k")
+    both = acro.join(rest, "k").unionByName(same).where("tx <> ty and x <> y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def contained(mentions: DataFrame, units: DataFrame) -> DataFrame:
     """Mentions with the unit (doc_id, unit_no, unit_start, unit_end) that holds their whole span."""
     return mentions.join(units, "doc_id").where("span_start >= unit_start and span_end <= unit_end")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from ledgraph.operators.components import connected_groups
 from ledgraph.sources.tables import stage
 
 #: The order in which a pair's block is named.
-BLOCKS = ("head", "tail", "last", "init", "exact", "alias")
+BLOCKS = ("head", "tail", "last", "init", "exact", "alias", "ann")
 
 
 def block_keys(forms: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -31,6 +33,27 @@ def block_keys(forms: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     return out.where("value is not null and value <> ''").distinct()
 
 
+def left_out(keys: DataFrame, most: int = 60, spare: str = "exact") -> DataFrame:
+    """(type, block, value, n): the keys that `candidate_pairs` leaves out as too common."""
+    return keys.where(F.col("block") != spare).groupBy("type", "block", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+
+
+def with_neighbours(pairs: DataFrame, vectors: DataFrame, k: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(pairs, embed): the pairs with those of each vector's `k` nearest of its type under block `ann`, and the cosines of all of them.
+
+    `vectors` has (id, type, vector). A pair keeps the block that names it first; `embed` (a, b, embed) goes to
+    `score_pairs`, negative cosines as 0.
+    """
+    near = knn_pairs(vectors, "id", "vector", "type", k).select("a", "b", F.col("block").alias("type"), F.lit("ann").alias("block"))
+    rank = F.expr("array_position(array(" + ",".join(f"'{b}'" for b in BLOCKS) + "), block)")
+    both = pairs.select("a", "b", "type", "block").unionByName(near).groupBy("a", "b", "type").agg(F.min_by("block", rank).alias("block"))
+    v = vectors.select("id", "vector")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, t: s + t)
+    j = both.join(v.select(F.col("id").alias("a"), F.col("vector").alias("x")), "a").join(v.select(F.col("id").alias("b"), F.col("vector").alias("y")), "b")
+    cos = F.try_divide(dot("x", "y"), F.sqrt(dot("x", "x") * dot("y", "y")))
+    return both, j.select("a", "b", F.greatest(F.lit(0.0), F.coalesce(cos, F.lit(0.0))).alias("embed"))
+
+
 def candidate_pairs(keys: DataFrame, most: int = 60, spare: str = "exact") -> DataFrame:
     """(a, b, type, block) with a < b: forms that share a key of their type. Null types match none.
 
@@ -67,7 +90,8 @@ def score_pairs(pairs: DataFrame, forms: DataFrame, embed: DataFrame | None = No
     """(a, b, type, block, fuzz, embed, context, rule, score, reason) of candidate pairs over forms (id, norm, entropy, context).
 
     Exact keys, declared aliases (block `alias`) and acronyms settle a pair; only the rest reaches the similarity
-    UDFs. A missing embedding counts 0 and its weight isn't given to the others.
+    UDFs, each two keys once however many forms have them. A missing embedding counts 0 and its weight isn't given to
+    the others.
     """
     l = forms.select(F.col("id").alias("a"), F.col("norm").alias("x"), F.col("entropy").alias("ex"), F.coalesce("context", F.lit("")).alias("cx"))
     r = forms.select(F.col("id").alias("b"), F.col("norm").alias("y"), F.col("entropy").alias("ey"), F.coalesce("context", F.lit("")).alias("cy"))
@@ -81,12 +105,14 @@ def score_pairs(pairs: DataFrame, forms: DataFrame, embed: DataFrame | None = No
     settled = F.when(F.col("x.key") == F.col("y.key"), F.struct(F.lit(1.0).alias("s"), F.lit("exact normalised match").alias("why"))).when(
         F.col("block") == "alias", F.struct(F.lit(1.0).alias("s"), F.lit("alias declared in corpus text").alias("why"))
     ).when(acro, F.struct(F.lit(0.97).alias("s"), F.lit("acronym expansion").alias("why")))
-    p = p.withColumn("set", settled)
+    p = stage(p.withColumn("set", settled), "pairs")
     done = p.where("set is not null").select("a", "b", "type", "block", F.col("set.s").alias("fuzz"), "embed", F.lit(0.0).alias("context"), F.col("set.s").alias("rule"), F.col("set.s").alias("score"), F.col("set.why").alias("reason"))
     open_ = p.where("set is null")
-    fuzz = F.greatest(UDFS["weighted"]("x.key", "y.key"), UDFS["token_sort"]("x.key", "y.key"), 0.95 * UDFS["partial"]("x.key", "y.key"))
+    keys = open_.select(F.least("x.key", "y.key").alias("k"), F.greatest("x.key", "y.key").alias("l")).distinct()
+    keys = keys.withColumn("fuzz", UDFS["best"]("k", "l"))
+    open_ = open_.withColumn("k", F.least("x.key", "y.key")).withColumn("l", F.greatest("x.key", "y.key")).join(keys, ["k", "l"])
     ctx = F.when((F.col("cx") == "") | (F.col("cy") == ""), 0.0).otherwise(UDFS["token_set"]("cx", "cy"))
-    open_ = open_.withColumn("fuzz", fuzz).withColumn("context", ctx)
+    open_ = open_.withColumn("context", ctx)
     nx, ny = F.size("x.tokens"), F.size("y.tokens")
     same_last = F.lower("x.last") == F.lower("y.last")
     same_first = F.lower("x.first") == F.lower("y.first")
@@ -113,31 +139,65 @@ def canonical_entities(members: DataFrame) -> DataFrame:
     """One row for each component of members (component, id, type, text, confidence, doc_id, suffix).
 
     The canonical surface is the best by (has a suffix, length, confidence), ties to the smaller text; the type is
-    the most frequent, ties to the smaller; aliases are the other surfaces in order. Null texts name nothing.
+    the most frequent, ties to the smaller. The other surfaces are counted here and are the rows of `entity_aliases`,
+    so that a component of any size is never one value. Null texts name nothing.
     """
     t = members.groupBy("component", "type").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.min_by("type", F.struct(-F.col("n"), F.col("type"))).alias("type"))
     rank = F.struct(-(F.coalesce("suffix", F.lit("")) != "").cast("int"), -F.length("text"), -F.coalesce("confidence", F.lit(0.0)), F.col("text"))
-    surf = members.where("text is not null").groupBy("component").agg(F.min_by("text", rank).alias("canonical"), F.array_sort(F.collect_set("text")).alias("all"))
+    surf = members.where("text is not null").groupBy("component").agg(F.min_by("text", rank).alias("canonical"), (F.countDistinct("text") - 1).alias("n_aliases"))
     size = members.groupBy("component").agg(F.count(F.lit(1)).alias("n_mentions"), F.countDistinct("doc_id").alias("n_docs"))
-    out = surf.join(t, "component").join(size, "component")
-    return out.select("component", "type", "canonical", F.array_except("all", F.array("canonical")).alias("aliases"), "n_mentions", "n_docs")
+    return surf.join(t, "component").join(size, "component").select("component", "type", "canonical", "n_aliases", "n_mentions", "n_docs")
+
+
+def entity_aliases(members: DataFrame, entities: DataFrame) -> DataFrame:
+    """(component, alias): the distinct surfaces of each component but its canonical one."""
+    return members.where("text is not null").select("component", F.col("text").alias("alias")).distinct().join(entities.select("component", F.col("canonical").alias("alias")), ["component", "alias"], "left_anti")
 
 
 def review_band(scored: DataFrame, low: float, high: float) -> DataFrame:
     return scored.where((F.col("score") >= low) & (F.col("score") < high))
 
 
-def knn_pairs(vectors: DataFrame, id_col: str, vec: str, block: str, k: int = 12) -> DataFrame:
-    """(a, b, block, cosine): the union of each vector's k nearest of its block, a < b. Null vectors are left out.
+def knn_pairs(vectors: DataFrame, id_col: str, vec: str, block: str, k: int = 12, tile: int = 2000) -> DataFrame:
+    """(a, b, block, cosine): the union of each vector's k nearest of its block, a < b. Exact; null and zero vectors are left out.
 
-    One side is joined by its block key; a block is split over the tasks by the salted left side, so that the
-    comparisons of a large block are spread.
+    A block is cut into tiles of about `tile` vectors by the hash of the id; each two of its tiles meet in a task of
+    their own, which multiplies two matrices and keeps the k best of each row. So no task holds a whole block.
     """
-    unit = F.transform(vec, lambda x: x.cast("double") / F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))))
-    v = vectors.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("a"), F.col(block).alias("block"), unit.alias("x"))
-    w = v.select(F.col("a").alias("b"), "block", F.col("x").alias("y"))
-    dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    j = v.join(w, "block").where("a <> b").select("a", "b", "block", dot.alias("cosine"))
+    ids = dict(vectors.dtypes)[id_col]
+    v = vectors.where(F.col(vec).isNotNull() & F.col(block).isNotNull()).select(F.col(id_col).alias("id"), F.col(block).alias("block"), F.col(vec).cast("array<double>").alias("x"))
+    parts = v.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("s"))
+    v = v.join(parts, "block").withColumn("g", F.expr("cast(pmod(xxhash64(id), s) as int)"))
+    l = v.withColumn("j", F.explode(F.expr("sequence(0, s - 1)"))).select("block", F.col("g").alias("i"), "j", "id", "x")
+    r = v.select("block", F.explode(F.expr("sequence(0, s - 1)")).alias("i"), F.col("g").alias("j"), "id", "x")
+    l, r = (df.select(*[F.col(c).alias(f"{side}_{c}" if c in ("block", "i", "j") else c) for c in df.columns]) for side, df in (("l", l), ("r", r)))
+
+    def matrix(t):
+        t = t.sort_by("id")
+        m = np.array(t["x"].to_pylist(), dtype=np.float64).reshape(t.num_rows, -1)
+        n = np.linalg.norm(m, axis=1)
+        keep = n > 0
+        return t["id"].filter(pa.array(keep)).combine_chunks(), m[keep] / n[keep, None]
+
+    def run(key, left, right):
+        (a, x), (b, y) = matrix(left), matrix(right)
+        rows, cols, cos = [], [], []
+        if len(a) and len(b):
+            c = x @ y.T
+            other = {i: n for n, i in enumerate(b.to_pylist())}
+            for n, i in enumerate(a.to_pylist()):
+                if i in other:
+                    c[n, other[i]] = -np.inf
+                row = c[n]
+                last = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                got = np.flatnonzero((row >= last) & (row > -np.inf))  # all that tie with the last one
+                rows += [n] * len(got)
+                cols += got.tolist()
+                cos += row[got].tolist()
+        blk = pa.array([key[0].as_py()] * len(rows), key[0].type)
+        return pa.table({"a": a.take(pa.array(rows, pa.int64())), "b": b.take(pa.array(cols, pa.int64())), "block": blk, "cosine": pa.array(cos, pa.float64())})
+
+    j = l.groupBy("l_block", "l_i", "l_j").cogroup(r.groupBy("r_block", "r_i", "r_j")).applyInArrow(run, f"a {ids}, b {ids}, block {dict(vectors.dtypes)[block]}, cosine double")
     top = j.withColumn("rn", F.row_number().over(W.partitionBy("a").orderBy(F.col("cosine").desc(), F.col("b")))).where(F.col("rn") <= k)
     return top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "block", "cosine").groupBy("a", "b", "block").agg(F.max("cosine").alias("cosine"))
 
@@ -154,8 +214,11 @@ def fellegi_sunter(pairs: DataFrame, levels: dict[str, list[tuple[Column, float,
     return pairs.withColumn("match_weight", total).withColumn("match_probability", F.pow(F.lit(2.0), odds) / (1 + F.pow(F.lit(2.0), odds)))
 
 
-def estimate_mu(pairs: DataFrame, fields: list[str], rounds: int = 5, prior: float = 0.1) -> DataFrame:
-    """(field, level, m, u) by expectation-maximisation over pairs whose columns `fields` hold agreement levels."""
+def estimate_mu(pairs: DataFrame, fields: list[str], rounds: int = 30, prior: float = 0.1, still: float = 1e-3) -> DataFrame:
+    """(field, level, m, u) by expectation-maximisation over pairs whose columns `fields` hold agreement levels.
+
+    It goes on until no m or u moves by `still`; after `rounds` it raises instead of giving unfinished values.
+    """
     cells = pairs.groupBy(*fields).agg(F.count(F.lit(1)).alias("n"))
     cells = stage(cells.withColumn("cell", F.xxhash64(*fields)), "cells")
     long_ = cells.select("cell", "n", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("int").alias("level")) for f in fields])).alias("x")).select("cell", "n", "x.field", "x.level")
@@ -167,5 +230,9 @@ def estimate_mu(pairs: DataFrame, fields: list[str], rounds: int = 5, prior: flo
         e = long_.join(post, "cell")
         num = e.groupBy("field", "level").agg((F.sum(F.col("n") * F.col("p")) + 0.5).alias("a"), (F.sum(F.col("n") * (1 - F.col("p"))) + 0.5).alias("b"))
         all_ = num.groupBy("field").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-        mu = stage(num.join(all_, "field").select("field", "level", (F.col("a") / F.col("ta")).alias("m"), (F.col("b") / F.col("tb")).alias("u")), "mu")
-    return mu
+        now = stage(num.join(all_, "field").select("field", "level", (F.col("a") / F.col("ta")).alias("m"), (F.col("b") / F.col("tb")).alias("u")), "mu")
+        moved = now.join(mu.select("field", "level", F.col("m").alias("m0"), F.col("u").alias("u0")), ["field", "level"]).agg(F.max(F.greatest(F.abs(F.col("m") - F.col("m0")), F.abs(F.col("u") - F.col("u0"))))).first()[0]
+        mu = now
+        if moved is None or moved < still:
+            return mu
+    raise RuntimeError(f"no standstill after {rounds} rounds")

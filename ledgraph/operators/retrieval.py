@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,7 +58,7 @@ def hybrid(a: DataFrame, b: DataFrame, alpha: float | None, k: int) -> DataFrame
     top = lambda d, n: d.select("query_id", "id", (F.col("score") / F.max("score").over(W.partitionBy("query_id"))).alias(n))
     j = top(a, "x").join(top(b, "y"), ["query_id", "id"], "full").fillna(0.0, ["x", "y"])
     s = F.greatest("x", "y") if alpha is None else alpha * F.col("x") + (1 - alpha) * F.col("y")
-    j = j.withColumn("score", s)
+    j = j.withColumn("score", F.round(s, 9))
     return j.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
@@ -71,3 +74,63 @@ def entity_text(entities: DataFrame) -> DataFrame:
     """(canon_id, text): what of an entity is embedded, `type: name (also known as ...)`."""
     also = F.array_join(F.array_sort(F.coalesce("aliases", F.array().cast("array<string>"))), ", ")
     return entities.select("canon_id", F.concat(F.col("type"), F.lit(": "), F.col("canonical"), F.when(also != "", F.concat(F.lit(" (also known as "), also, F.lit(")"))).otherwise("")).alias("text"))
+
+
+def around_hits(hits: DataFrame, mentions: DataFrame, edges: DataFrame, per_hit: int = 10) -> DataFrame:
+    """(query_id, id, canon_id, neighbours): each hit's entities with their first `per_hit` neighbours; entities without edges have none."""
+    e = hits.select("query_id", "id").distinct().join(mentions.select(F.col("doc_id").alias("id"), "canon_id").distinct(), "id")
+    n = edges.select(F.col("head").alias("canon_id"), F.col("tail").alias("n")).unionByName(edges.select(F.col("tail").alias("canon_id"), F.col("head").alias("n"))).distinct()
+    n = n.withColumn("rn", F.row_number().over(W.partitionBy("canon_id").orderBy("n"))).where(F.col("rn") <= per_hit)
+    n = n.groupBy("canon_id").agg(F.array_sort(F.collect_list("n")).alias("neighbours"))
+    return e.join(n, "canon_id", "left").select("query_id", "id", "canon_id", F.coalesce("neighbours", F.array().cast("array<string>")).alias("neighbours"))
+
+
+def context_subgraph(hits: DataFrame, mentions: DataFrame, edges: DataFrame) -> DataFrame:
+    """(query_id, head, type, tail): the edges of which both ends stand in the documents a query hit."""
+    e = hits.select("query_id", "id").distinct().join(mentions.select(F.col("doc_id").alias("id"), "canon_id").distinct(), "id").select("query_id", "canon_id").distinct()
+    j = edges.select("head", "type", "tail").distinct().join(e.withColumnRenamed("canon_id", "head"), "head")
+    return j.join(e.withColumnRenamed("canon_id", "tail"), ["query_id", "tail"], "left_semi").select("query_id", "head", "type", "tail")
+
+
+#: What a plan that only reads may be made of.
+READS = {"Project", "Filter", "Aggregate", "Join", "Sort", "GlobalLimit", "LocalLimit", "SubqueryAlias", "UnresolvedRelation", "With", "CTERelationDef", "UnresolvedWith", "Distinct", "Union", "UnresolvedHaving", "UnresolvedSubqueryColumnAliases", "OneRowRelation", "UnresolvedInlineTable", "Window", "WithWindowDefinition", "Except", "Intersect", "Offset", "LateralJoin", "Generate"}
+
+
+def reads_only(spark: SparkSession, sql: str, views: set[str]) -> bool:
+    """Whether a generated query only reads, and only `views`: its parsed plan is held against lists of what is allowed.
+
+    What can't be parsed, commands, functions that reach outside, and other tables are refused.
+    """
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception:
+        return False
+    ctes = {m.lower() for m in re.findall(r"(?i)(?:\bwith|,)\s*(\w+)\s+as\s*\(", sql)}
+    if re.search(r"(?i)\b(reflect|java_method|try_reflect|read_files|input_file_name)\b", sql):
+        return False
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in READS:
+            return False
+        if node.nodeName() == "UnresolvedRelation" and node.tableName().lower().replace("`", "") not in {v.lower() for v in views} | ctes:
+            return False
+        for seq in (node.children(), node.innerChildren(), node.subqueries()):
+            it = seq.iterator()
+            while it.hasNext():
+                todo.append(it.next())
+    return True
+
+
+def ask_tables(spark: SparkSession, question: str, write_query: Callable[[str], str], views: set[str], most: int = 100) -> DataFrame:
+    """The rows of the query that a model writes for a question, at most `most`; what doesn't only read `views` raises."""
+    sql = write_query(question)
+    if not reads_only(spark, sql, views):
+        raise PermissionError("the generated query isn't a plain read of the views it may use")
+    return spark.sql(sql).limit(most)
+
+
+def routed(questions: DataFrame, tools: dict[str, Callable[[DataFrame], DataFrame]], default: str) -> dict[str, DataFrame]:
+    """The answers of each tool to the questions (query_id, question, tool) that a model sent it; unknown tools fall to `default`."""
+    named = questions.withColumn("tool", F.when(F.col("tool").isin(list(tools)), F.col("tool")).otherwise(default))
+    return {n: f(named.where(F.col("tool") == n)) for n, f in tools.items()}

@@ -36,13 +36,40 @@ _ED = _EV + ", ed AS (SELECT head, type, tail, max(confidence) AS confidence, co
 _ENT = "ent AS (SELECT DISTINCT ON (canon_id) * FROM entities)"
 
 
-@query("SELECT DISTINCT c_name AS name, trim(regexp_replace(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9 ]', ' ', 'g'), '\\b(inc|corp|corporation|co|company|llc|ltd|limited|plc)\\b', ' ', 'g'), ' +', ' ', 'g')) AS clean FROM customer UNION SELECT DISTINCT p_name, trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9 ]', ' ', 'g'), '\\b(inc|corp|corporation|co|company|llc|ltd|limited|plc)\\b', ' ', 'g'), ' +', ' ', 'g')) FROM part")
+_CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(lower({0}), 'ß', 'ss'), 'ς', 'σ'), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\b(inc|incorporated|corp|corporation|llc|ltd|plc|co|company|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT DISTINCT c_name AS name, {_CLEAN.format('c_name')} AS clean FROM customer UNION SELECT DISTINCT p_name, {_CLEAN.format('p_name')} FROM part")
 def clean_names(spark, d):
     n = table(spark, d, "customer").select(F.col("c_name").alias("name")).unionByName(table(spark, d, "part").select(F.col("p_name").alias("name"))).distinct()
     return n.withColumn("clean", names.clean_name(F.col("name")))
 
 
-@query()
+def _words(xs):
+    return "(" + ", ".join("'" + x + "'" for x in xs) + ")"
+
+
+#: The normal form in SQL. SQL here has no compatibility folding; of the forms it would change, fractions and the trade mark are spelt out.
+_NORM = rf"""f0 AS (SELECT type, text, min(mention_id) AS id FROM mentions WHERE text IS NOT NULL AND type IS NOT NULL GROUP BY 1, 2),
+f1 AS (SELECT *, trim(regexp_replace(regexp_replace(nfc_normalize(replace(replace(replace(replace(text, '¼', '1⁄4'), '½', '1⁄2'), '¾', '3⁄4'), '™', 'TM')), '[\x{{200B}}-\x{{200F}}\x{{FEFF}}]', '', 'g'), '[\s\p{{Z}}\x{{85}}\x{{1C}}-\x{{1F}}\x0B]+', ' ', 'g'), ' ') AS r0 FROM f0),
+f2 AS (SELECT *, regexp_replace(trim(rtrim(ltrim(r0, '"''“‘(['), '"''”’)]'), ' '), '[''’]s($|[^\p{{L}}\p{{N}}_])', '\1', 'g') AS raw FROM f1),
+f3 AS (SELECT *, regexp_extract_all(raw, '[^ ,]+') AS t0 FROM f2),
+f4 AS (SELECT *, t0[coalesce(list_filter(range(1, len(t0) + 1), lambda i: lower(t0[i]) NOT IN {_words(names.DETERMINERS)})[1], len(t0) + 1):] AS t1 FROM f3),
+f5 AS (SELECT *, CASE WHEN type IN {_words(names.ORG_TYPES)} THEN greatest(least(1, len(t1)), coalesce(list_max(list_filter(range(1, len(t1) + 1), lambda i: lower(trim(t1[i], '.,')) NOT IN {_words(names.LEGAL_SUFFIXES)})), 0))
+ WHEN type IN {_words(names.PERSON_TYPES)} THEN coalesce(list_max(list_filter(range(1, len(t1) + 1), lambda i: lower(t1[i]) NOT IN {_words(names.PERSON_SUFFIXES)})), 0) ELSE len(t1) END AS hi,
+ CASE WHEN type IN {_words(names.PERSON_TYPES)} THEN coalesce(list_filter(range(1, len(t1) + 1), lambda i: lower(t1[i]) NOT IN {_words(names.PERSON_TITLES)})[1], len(t1) + 1) ELSE 1 END AS lo FROM f4),
+f6 AS (SELECT *, t1[lo:hi] AS toks, CASE WHEN type IN {_words(names.ORG_TYPES)} THEN array_to_string(list_transform(t1[hi + 1:], lambda t: trim(t, '.,')), ' ') ELSE '' END AS suffix FROM f5),
+f7 AS (SELECT *, coalesce(nullif(array_to_string(toks, ' '), ''), raw) AS display, array_to_string(toks, '') AS joined FROM f6),
+f8 AS (SELECT *, trim(regexp_replace(regexp_replace(replace(replace(lower(display), 'ß', 'ss'), 'ς', 'σ'), '[^\p{{L}}\p{{N}}_ ]', '', 'g'), ' +', ' ', 'g'), ' ') AS k FROM f7),
+norm AS (SELECT id, type, text, coalesce(nullif(k, ''), lower(display)) AS key, display, list_transform(toks, lambda t: replace(replace(lower(t), 'ß', 'ss'), 'ς', 'σ')) AS tokens, suffix,
+ CASE WHEN type IN {_words(names.PERSON_TYPES)} AND len(toks) > 0 THEN toks[1] ELSE '' END AS first, CASE WHEN type IN {_words(names.PERSON_TYPES)} AND len(toks) > 0 THEN toks[-1] ELSE '' END AS last,
+ joined = upper(joined) AND joined <> lower(joined) AND length(joined) BETWEEN 2 AND 6 AS is_acronym FROM f8)"""
+
+
+@query(f"""WITH {_NORM.replace("text IS NOT NULL AND type IS NOT NULL", "text IS NOT NULL")}, ch AS (SELECT DISTINCT key FROM norm), x AS (SELECT key, unnest(string_split(key, '')) AS c FROM ch), n AS (SELECT key, c, count(*) AS n FROM x WHERE c <> '' GROUP BY 1, 2), t AS (SELECT key, sum(n) AS t FROM n GROUP BY 1),
+e AS (SELECT key, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM n JOIN t USING (key) GROUP BY 1)
+SELECT type, text, key, display, tokens, suffix, first, last, is_acronym, coalesce(entropy, 0.0) AS entropy, array_to_string(list_transform(tokens, lambda w: substr(w, 1, 1)), '') AS initials FROM norm LEFT JOIN e USING (key)
+UNION ALL SELECT DISTINCT type, text, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM mentions WHERE text IS NULL""")
 def normalize_names(spark, d):
     m = table(spark, d, "mentions").select("type", "text").distinct()
     n = names.normalized(m)
@@ -105,9 +132,46 @@ def blocking_pairs(spark, d):
     return resolution.candidate_pairs(resolution.block_keys(_forms(spark, d), names.declared_aliases(table(spark, d, "documents"))))
 
 
+_KEYS = f"""keys AS (SELECT DISTINCT id, type, block, value FROM (
+  SELECT id, type, 'exact' AS block, key AS value FROM norm WHERE key <> '' AND len(tokens) > 0 UNION ALL SELECT id, type, 'head', tokens[1] FROM norm WHERE key <> '' AND len(tokens) > 0
+  UNION ALL SELECT id, type, 'tail', tokens[-1] FROM norm WHERE key <> '' AND len(tokens) > 0 UNION ALL SELECT id, type, 'last', lower(last) FROM norm WHERE key <> '' AND type IN {_words(names.PERSON_TYPES)}
+  UNION ALL SELECT id, type, 'init', CASE WHEN is_acronym THEN lower(display) WHEN len(tokens) > 1 THEN array_to_string(list_transform(tokens, lambda w: substr(w, 1, 1)), '') END FROM norm WHERE key <> '' AND len(tokens) > 0) WHERE value IS NOT NULL AND value <> ''),
+sized AS (SELECT *, count(*) OVER (PARTITION BY type, block, value) AS n FROM keys),
+prop AS (SELECT x.id AS a, y.id AS b, x.type, x.block FROM sized x JOIN sized y ON x.type = y.type AND x.block = y.block AND x.value = y.value AND x.id < y.id WHERE x.n <= 60 AND x.block <> 'exact'
+  UNION ALL SELECT id, nx, type, block FROM (SELECT *, lead(id) OVER (PARTITION BY type, value ORDER BY id) AS nx FROM keys WHERE block = 'exact') WHERE nx IS NOT NULL),
+cand AS (SELECT a, b, type, arg_min(block, list_position(['head', 'tail', 'last', 'init', 'exact'], block)) AS block FROM prop GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {_NORM}, {_KEYS} SELECT a, b, type, block FROM cand")
+def key_blocking_pairs(spark, d):
+    return resolution.candidate_pairs(resolution.block_keys(_forms(spark, d)))
+
+
+@query(f"WITH {_NORM}, {_KEYS} SELECT type, block, value, count(*) AS n FROM keys WHERE block <> 'exact' GROUP BY 1, 2, 3 HAVING count(*) > 60")
+def common_blocking_keys(spark, d):
+    return resolution.left_out(resolution.block_keys(_forms(spark, d)))
+
+
+def _is_acronym_sql(short, tokens):
+    letters = f"regexp_replace(lower({short}), '[^a-z]', '', 'g')"
+    ws = f"list_filter(list_transform({tokens}, lambda t: regexp_replace(lower(t), '[^a-z]', '', 'g')), lambda t: t <> '')"
+    return f"""(length({letters}) >= 2 AND len({ws}) > 0 AND regexp_matches(array_to_string({ws}, ''), '^' || array_to_string(string_split({letters}, ''), '.*')) AND
+CASE WHEN len({ws}) = 1 THEN length({letters}) >= 3 ELSE list_has_any(string_split({letters}[2:], ''), list_transform(({ws})[2:], lambda t: t[1])) END)"""
+
+
+@query(f"""WITH {_NORM}, {_KEYS}, j AS (SELECT c.a, c.b, c.type, x.key AS kx, y.key AS ky, x.is_acronym AS ax, y.is_acronym AS ay, x.display AS dx, y.display AS dy, x.tokens AS tx, y.tokens AS ty FROM cand c JOIN norm x ON x.id = c.a JOIN norm y ON y.id = c.b)
+SELECT a, b, type, CASE WHEN kx = ky THEN 1.0 ELSE 0.97 END::DOUBLE AS score, CASE WHEN kx = ky THEN 'exact normalised match' ELSE 'acronym expansion' END AS reason FROM j
+WHERE kx = ky OR (ax <> ay AND CASE WHEN ax THEN {_is_acronym_sql('dx', 'ty')} ELSE {_is_acronym_sql('dy', 'tx')} END)""")
+def settled_pairs(spark, d):
+    """The pairs of `key_blocking_pairs` that the first rules settle."""
+    f = _forms(spark, d)
+    s = resolution.score_pairs(resolution.candidate_pairs(resolution.block_keys(f)), f)
+    return s.where("reason in ('exact normalised match', 'acronym expansion')").select("a", "b", "type", "score", "reason")
+
+
 _PART = "p AS (SELECT p_partkey AS id, p_brand AS cluster, CAST(p_size AS VARCHAR) AS k1, split_part(p_name, ' ', 1) || '|' || p_type AS k2 FROM part)"
-_OR = """cells AS (SELECT id, 0 AS rule, k1 AS value FROM p UNION ALL SELECT id, 1, k2 FROM p), c AS (SELECT *, count(*) OVER (PARTITION BY rule, value) AS n FROM cells),
-pairs AS (SELECT DISTINCT x.id AS a, y.id AS b FROM c x JOIN c y ON x.rule = y.rule AND x.value = y.value AND x.id < y.id WHERE x.n <= 60)"""
+_OR = """cells AS (SELECT id, 0 AS rule, k1 AS value FROM p UNION ALL SELECT id, 1, k2 FROM p), c AS (SELECT * FROM cells),
+pairs AS (SELECT DISTINCT x.id AS a, y.id AS b FROM c x JOIN c y ON x.rule = y.rule AND x.value = y.value AND x.id < y.id)"""
 
 
 def _part(spark, d):
@@ -135,8 +199,13 @@ def scored_mention_pairs(spark, d):
     return resolution.score_pairs(p, f)
 
 
-@query("""WITH e AS (SELECT DISTINCT canon_id, type, lower(canonical) AS n, split_part(lower(canonical), ' ', 1) AS k FROM entities WHERE regexp_full_match(canonical, '[ -~]+')), c AS (SELECT *, count(*) OVER (PARTITION BY type, k) AS z FROM e)
-SELECT x.canon_id AS a, y.canon_id AS b, round(jaro_winkler_similarity(x.n, y.n), 6) AS jw, levenshtein(x.n, y.n)::INTEGER AS lev FROM c x JOIN c y ON x.type = y.type AND x.k = y.k AND x.canon_id < y.canon_id WHERE x.z <= 60""")
+#: DuckDB's distances count bytes, so in a pair each letter outside ASCII is first made a capital, which no lower-case name has.
+_ONE_BYTE = "translate({0}, array_to_string(list_distinct(list_filter(string_split(xn || yn, ''), lambda c: ord(c) > 127)), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
+
+@query(f"""WITH e AS (SELECT DISTINCT canon_id, type, lower(canonical) AS n, split_part(lower(canonical), ' ', 1) AS k FROM entities WHERE canonical IS NOT NULL),
+p AS (SELECT x.canon_id AS a, y.canon_id AS b, x.n AS xn, y.n AS yn FROM e x JOIN e y ON x.type = y.type AND x.k = y.k AND x.canon_id < y.canon_id)
+SELECT a, b, round(jaro_winkler_similarity({_ONE_BYTE.format('xn')}, {_ONE_BYTE.format('yn')}), 6) AS jw, levenshtein({_ONE_BYTE.format('xn')}, {_ONE_BYTE.format('yn')})::INTEGER AS lev FROM p""")
 def name_similarity(spark, d):
     from ledgraph.functions.similarity import UDFS
 
@@ -191,7 +260,7 @@ n AS (SELECT component, list_sort(list_distinct(list(text) FILTER (text IS NOT N
 SELECT n.component, tt.type, b.canonical, len(list_filter(al, lambda x: x <> b.canonical)) AS n_aliases, n_mentions, n_docs FROM n JOIN tt ON tt.component = n.component AND tt.rn = 1 JOIN b ON b.component = n.component AND b.rn = 1""")
 def canonical_entities(spark, d):
     c = resolution.canonical_entities(_members(spark, d))
-    return c.select("component", "type", "canonical", F.size("aliases").cast("long").alias("n_aliases"), "n_mentions", "n_docs")
+    return c.select("component", "type", "canonical", "n_aliases", "n_mentions", "n_docs")
 
 
 @query(f"""WITH RECURSIVE {_ACC}, {_MEM} SELECT component, count(*) AS n, count(DISTINCT text) AS n_forms FROM mem GROUP BY 1 HAVING count(*) > 5""")
@@ -273,9 +342,10 @@ def ownership_chains(spark, d):
 
 
 @query(f"""WITH {_ED}, k AS (SELECT * FROM ed WHERE type IN ('subsidiary_of', 'officer_of')), n AS (SELECT head AS m, tail AS x FROM k UNION SELECT tail, head FROM k)
-SELECT p.x AS a, q.x AS b, count(*) AS via FROM n p JOIN n q ON p.m = q.m AND p.x < q.x GROUP BY 1, 2""")
+SELECT p.x AS a, q.x AS b, count(*) AS via, array_to_string(list_sort(list(p.m))[1:3], ',') AS through FROM n p JOIN n q ON p.m = q.m AND p.x < q.x GROUP BY 1, 2""")
 def two_hop_exposure(spark, d):
-    return graph.exposure(_edges(spark, d).where("type in ('subsidiary_of', 'officer_of')"), table(spark, d, "entities"))
+    x = graph.exposure(_edges(spark, d).where("type in ('subsidiary_of', 'officer_of')"))
+    return x.withColumn("through", F.array_join("through", ","))
 
 
 @query(f"""WITH RECURSIVE {_ED}, k AS (SELECT * FROM ed WHERE type <> 'located_in'), n AS (SELECT head AS x, tail AS y FROM k UNION SELECT tail, head FROM k), src AS (SELECT min(head) AS source FROM k),
@@ -368,8 +438,8 @@ def knn_join(spark, d):
     return resolution.knn_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", "label", 5).select("a", "b", F.col("block").cast("int").alias("block"))
 
 
-@query("""WITH e AS (SELECT DISTINCT record_id, type, lower(trim(canonical)) AS n, lower(located_in) AS l, source AS s, canon_id FROM entity_records WHERE regexp_full_match(canonical, '[ -~]+')), p AS (SELECT x.record_id AS a, y.record_id AS b, x.n AS xn, y.n AS yn, x.l AS xl, y.l AS yl, x.s AS xs, y.s AS ys FROM e x JOIN e y ON x.canon_id = y.canon_id AND x.record_id < y.record_id)
-SELECT a, b, round(CASE WHEN xn = yn THEN log2(0.9 / 0.01) WHEN levenshtein(xn, yn) <= 3 THEN log2(0.08 / 0.02) ELSE log2(0.02 / 0.97) END + CASE WHEN xl = yl THEN log2(0.7 / 0.1) WHEN xl IS NOT NULL AND yl IS NOT NULL THEN log2(0.3 / 0.9) ELSE 0 END, 6) AS match_weight FROM p""")
+@query(f"""WITH e AS (SELECT DISTINCT record_id, lower(trim(canonical, ' ')) AS n, lower(located_in) AS l, canon_id FROM entity_records), p AS (SELECT x.record_id AS a, y.record_id AS b, x.n AS xn, y.n AS yn, x.l AS xl, y.l AS yl FROM e x JOIN e y ON x.canon_id = y.canon_id AND x.record_id < y.record_id)
+SELECT a, b, round(CASE WHEN xn = yn THEN log2(0.9 / 0.01) WHEN levenshtein({_ONE_BYTE.format('xn')}, {_ONE_BYTE.format('yn')}) <= 3 THEN log2(0.08 / 0.02) ELSE log2(0.02 / 0.97) END + CASE WHEN xl = yl THEN log2(0.7 / 0.1) WHEN xl IS NOT NULL AND yl IS NOT NULL THEN log2(0.3 / 0.9) ELSE 0 END, 6) AS match_weight FROM p""")
 def fellegi_sunter_fixed(spark, d):
     e = table(spark, d, "entity_records").select("record_id", "canon_id", F.lower(F.trim("canonical")).alias("n"), F.lower("located_in").alias("l")).distinct()
     x, y = e.select(F.col("record_id").alias("a"), "canon_id", F.col("n").alias("xn"), F.col("l").alias("xl")), e.select(F.col("record_id").alias("b"), "canon_id", F.col("n").alias("yn"), F.col("l").alias("yl"))

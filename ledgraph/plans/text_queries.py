@@ -53,8 +53,8 @@ def accumulate_facts(spark, d):
 
 def _islands_sql(keys):
     return f"""WITH {_F}, g AS (SELECT *, coalesce(valid_from, recorded_at) AS s FROM f WHERE coalesce(valid_from, recorded_at) IS NOT NULL),
-n AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND lag(tail) OVER w IS NOT DISTINCT FROM tail THEN 0 ELSE 1 END AS nw FROM g WINDOW w AS (PARTITION BY {keys} ORDER BY s, recorded_at, tail)),
-r AS (SELECT *, sum(nw) OVER (PARTITION BY {keys} ORDER BY s, recorded_at, tail ROWS UNBOUNDED PRECEDING) AS run FROM n),
+n AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND lag(tail) OVER w IS NOT DISTINCT FROM tail THEN 0 ELSE 1 END AS nw FROM g WINDOW w AS (PARTITION BY {keys} ORDER BY s, recorded_at, tail, fact_id)),
+r AS (SELECT *, sum(nw) OVER (PARTITION BY {keys} ORDER BY s, recorded_at, tail, fact_id ROWS UNBOUNDED PRECEDING) AS run FROM n),
 q AS (SELECT {keys}, run, min(tail) AS tail, min(s) AS valid_from, max(confidence) AS confidence, sum(support)::BIGINT AS support FROM r GROUP BY ALL)
 SELECT {keys}, tail, valid_from, confidence, support, lead(valid_from) OVER (PARTITION BY {keys} ORDER BY run) AS valid_until FROM q"""
 
@@ -144,7 +144,7 @@ def _links(spark, d):
     return linking.link(table(spark, d, "mentions").select("mention_id", "type", "text").distinct(), _vocab(spark, d), {"person": "person", "organization": "organization"})
 
 
-_FOLD = "trim(regexp_replace(translate(lower({0}), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')"
+_FOLD = "trim(regexp_replace(replace(replace(lower(strip_accents({0})), 'ß', 'ss'), 'ς', 'σ'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')"
 _LINK = f"""e AS (SELECT DISTINCT ON (canon_id) * FROM entities), nm AS (SELECT {_FOLD.format('canonical')} AS x, min(canon_id) AS k FROM e GROUP BY 1), al AS (SELECT {_FOLD.format('a')} AS x, min(canon_id) AS k FROM (SELECT canon_id, unnest(aliases) AS a FROM e) GROUP BY 1),
 m AS (SELECT DISTINCT mention_id, type, text FROM mentions), j AS (SELECT m.*, coalesce(nm.k, al.k) AS k0, CASE WHEN nm.k IS NOT NULL THEN 'name' WHEN al.k IS NOT NULL THEN 'alias' END AS h0 FROM m LEFT JOIN nm ON nm.x = {_FOLD.format('m.text')} AND nm.x <> '' LEFT JOIN al ON al.x = {_FOLD.format('m.text')} AND al.x <> ''),
 lk AS (SELECT j.mention_id, j.type, j.text, CASE WHEN j.type IN ('person', 'organization') AND e.type <> j.type THEN NULL ELSE k0 END AS key, CASE WHEN j.type IN ('person', 'organization') AND e.type <> j.type THEN NULL ELSE h0 END AS how FROM j LEFT JOIN e ON e.canon_id = k0)"""
@@ -171,7 +171,16 @@ def gold_labels(spark, d):
 def tolerance_join(spark, d):
     m = table(spark, d, "mentions").where("span_start is not null").dropDuplicates(["mention_id"])
     l, r = m.select("doc_id", "mention_id", "span_start"), m.select("doc_id", F.col("mention_id").alias("other"), "span_start")
-    return linking.near_spans(l, r, ["doc_id"], "span_start", 30, F.col("other")).where("mention_id < other").select("mention_id", "other")
+    return linking.spans_within(l, r, ["doc_id"], "span_start", 30).where("mention_id < other").select("mention_id", "other")
+
+
+@query("""WITH m AS (SELECT DISTINCT ON (mention_id) doc_id, mention_id, type, span_start FROM mentions WHERE span_start IS NOT NULL), p AS (SELECT a.mention_id, b.mention_id AS other, row_number() OVER (PARTITION BY a.mention_id ORDER BY abs(a.span_start - b.span_start), b.mention_id) AS rn
+FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.type = b.type AND abs(a.span_start - b.span_start) <= 200 AND a.mention_id <> b.mention_id) SELECT mention_id, other FROM p WHERE rn = 1""")
+def nearest_mention(spark, d):
+    m = table(spark, d, "mentions").where("span_start is not null").dropDuplicates(["mention_id"])
+    l, r = m.select("doc_id", "type", "mention_id", "span_start"), m.select("doc_id", "type", F.col("mention_id").alias("other"), "span_start")
+    near = linking.spans_within(l, r, ["doc_id", "type"], "span_start", 200).where("mention_id <> other")
+    return graph.top_per_group(near, ["mention_id"], [F.abs(F.col("span_start") - F.col("r_at")), F.col("other")], 1).select("mention_id", "other")
 
 
 @query()
@@ -197,12 +206,11 @@ def vector_topk(spark, d):
     return retrieval.vector_topk(table(spark, d, "embeddings"), _query_vectors(spark, d), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-#: Of the SQL only.
-_Q = [(1, "spare-parts quota at the customs desk"), (2, "loyalty label early trading"), (3, "Warranty repair free of charge"), (4, "flight cancelled hotel paid")]
-_BM = """q AS (SELECT query_id, unnest(list_distinct(list_filter(string_split_regex(lower(words), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))) AS term FROM (VALUES """ + ", ".join(f"({i}, '{w}')" for i, w in _Q) + """) AS v(query_id, words)),
-tk AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ts FROM documents WHERE text IS NOT NULL), px AS (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM tk), ps AS (SELECT id, term, dl, count(*) AS tf FROM px GROUP BY ALL),
+_BM = """tx AS (SELECT doc_id AS id, concat_ws(' ', title, text) AS w, CASE WHEN trim(title, ' ') <> '' THEN title ELSE text END AS ask FROM documents),
+q AS (SELECT DISTINCT id AS query_id, unnest(list_filter(string_split_regex(lower(ask), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS term FROM tx WHERE id % 20 = 0),
+tk AS (SELECT id, list_filter(string_split_regex(lower(w), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ts FROM tx), px AS (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM tk), ps AS (SELECT id, term, dl, count(*) AS tf FROM px GROUP BY ALL),
 cs AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT id, dl FROM ps)), df AS (SELECT term, count(*) AS df FROM ps GROUP BY 1),
-s AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM ps JOIN q USING (term) JOIN df USING (term), cs GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"""
+s AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM ps JOIN q USING (term) JOIN df USING (term), cs GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"""
 
 
 def _bm25(spark, d, k):
@@ -218,11 +226,13 @@ def bm25_topk(spark, d):
     return _bm25(spark, d, 10).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
 
 
-@query()
+@query(f"""WITH {_BM}, {_QV}, v0 AS (SELECT query_id, vec_id AS id, (1 + list_cosine_similarity(query::DOUBLE[], embedding::DOUBLE[])) / 2 AS score FROM (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 20 = 0), embeddings),
+v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM v0), x AS (SELECT query_id, id, score / max(score) OVER (PARTITION BY query_id) AS x FROM v WHERE rank <= 50), y AS (SELECT query_id, id, score / max(score) OVER (PARTITION BY query_id) AS y FROM rk WHERE rank <= 50),
+h AS (SELECT query_id, id, 0.5 * coalesce(x, 0) + 0.5 * coalesce(y, 0) AS score FROM x FULL JOIN y USING (query_id, id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM h) SELECT query_id, id, round(score, 5) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 10""".replace(f", {_QV}", ""))
 def hybrid_topk(spark, d):
     words = _bm25(spark, d, 50)
     vec = retrieval.vector_topk(table(spark, d, "embeddings"), _query_vectors(spark, d), 50)
-    return retrieval.hybrid(vec, words, 0.5, 10)
+    return retrieval.hybrid(vec, words, 0.5, 10).withColumn("score", F.round("score", 5))
 
 
 @query()
