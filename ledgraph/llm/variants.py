@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import re
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgraph.llm.arrow import rows
 from ledgraph.llm.folding import deletions, plain, skeleton, within, words
 from ledgraph.sources.tables import stage
 
@@ -24,9 +24,17 @@ _DOTTED = re.compile(r"\b(\w)\.\s?(\w)\.(?:\s?(\w)\.)?")
 _POSSESSIVE = re.compile(r"['’]s\b")
 
 
-def code(name_words: list[str]) -> str:
-    """The short code of a name: the first five consonants of its first two words, sh counting as s."""
-    return re.sub("[aeiou]", "", "".join(name_words[:2]).replace("sh", "s"))[:5]
+_DIGRAPH = re.compile("([cpst])h")
+
+
+def codes(name_words: list[str], least: int = 4, most: int = 6) -> set[str]:
+    """What a name is abbreviated to: the first `least` to `most` of its consonants, a digraph as one letter or two, and its initials."""
+    out = {"".join(w[0] for w in name_words)} if len(name_words) > 1 else set()
+    joined = "".join(name_words)
+    for text in (joined, _DIGRAPH.sub(r"\1", joined)):
+        bare = re.sub("[aeiou]", "", text)
+        out |= {bare[:n] for n in range(least, most + 1) if len(bare) >= n}
+    return out
 
 
 def parts(kind: str, text: str) -> tuple[list[str], bool, bool]:
@@ -55,9 +63,9 @@ def _tags(kind: str, got: list[str], handle: bool, coded: bool, entity: bool) ->
     out: set[str] = set()
     if kind == "organization":
         if entity:
-            out.add("c:" + code(got))
+            out |= {"c:" + c for c in codes(got)}
         elif coded and got:
-            out.add("c:" + got[0].replace("sh", "s"))
+            out.add("c:" + got[0])
         for i in range(len(got) - 1):
             if entity and i:
                 break
@@ -150,9 +158,9 @@ def score_person(got: list[str], handle: bool, ent: list[str]) -> tuple[float, s
 
 
 def score_organization(got: list[str], handle: bool, coded: bool, ent: list[str]) -> float | None:
-    """Log likelihood of a spelling of two name words and a trade."""
+    """Log likelihood of a spelling of a name whose first two words tell it from others and whose rest says what it does."""
     if coded and len(got) == 1:
-        return -1.0 if got[0].replace("sh", "s") == code(ent) else None
+        return -1.0 - 0.2 * abs(5 - len(got[0])) if got[0] in codes(ent) else None
     core, trade = ent[0] + (ent[1] if len(ent) > 1 else ""), ent[2:]
     best = None
     for i in range(len(got)):
@@ -191,21 +199,6 @@ def score_organization(got: list[str], handle: bool, coded: bool, ent: list[str]
     return best
 
 
-def _table(schema: str, make):
-    """A mapInArrow function: `make` gets the columns of a batch as lists and gives rows."""
-    fields = [f.split() for f in schema.split(", ")]
-    kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
-    out = pa.schema([(n, kinds[k]) for n, k in fields])
-
-    def run(batches):
-        for b in batches:
-            rows = list(make(*(c.to_pylist() for c in b.columns)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
-
-    return run, schema
-
-
 def _spelling_keys(kinds, texts):
     for k, t in zip(kinds, texts):
         got, handle, coded = parts(k, t)
@@ -236,7 +229,7 @@ def _scores(kinds, texts, ids, names):
                 yield k, t, i, n, s, "", "", ""
 
 
-def attribute(mentions: DataFrame, entities: DataFrame, kinds: tuple[str, ...] = ("person", "organization"), floor: float = -7.0, margin: float = 0.4) -> DataFrame:
+def attribute(mentions: DataFrame, entities: DataFrame, kinds: tuple[str, ...] = ("person", "organization"), floor: float = -7.0, margin: float = 0.4, weight: float = 1.0) -> DataFrame:
     """(mention_id, canon_id) of each mention whose text is an unlisted spelling of an entity of its type.
 
     Texts that are exactly a listed name of their type, null or without letters, and texts for which no entity
@@ -253,13 +246,16 @@ def attribute(mentions: DataFrame, entities: DataFrame, kinds: tuple[str, ...] =
     listed = ents.select("type", "canon_id", F.col("canonical").alias("text")).unionByName(aliases).distinct()
     seen = mentions.where(F.col("type").isin(*kinds) & F.col("text").isNotNull()).select("mention_id", "type", "text", "context")
     counts = stage(seen.groupBy("type", "text").agg(F.count(F.lit(1)).alias("n")), "counts")
-    prior = counts.join(listed, ["type", "text"]).groupBy("canon_id").agg(F.log1p(F.sum("n")).alias("prior"))
+    # Listed spellings ranked by how often they are written give each entity's prior, against the mean of its type.
+    written = listed.join(counts, ["type", "text"], "left").groupBy("type", "canon_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    mean = written.groupBy("type").agg(F.avg("n").alias("mean"))
+    prior = written.join(mean, "type").select("canon_id", (weight * F.log((F.col("n") + 1) / (F.col("mean") + 1))).alias("prior"))
     spellings = counts.join(listed.select("type", "text").distinct(), ["type", "text"], "left_anti").select("type", "text")
-    s_keys = spellings.mapInArrow(*_table("type string, text string, key string", _spelling_keys))
+    s_keys = spellings.mapInArrow(*rows("type string, text string, key string", _spelling_keys))
     names = ents.select("type", "canon_id", F.col("canonical").alias("name"))
-    e_keys = names.mapInArrow(*_table("type string, canon_id string, name string, key string", _entity_keys))
+    e_keys = names.mapInArrow(*rows("type string, canon_id string, name string, key string", _entity_keys))
     pairs = s_keys.join(e_keys, ["type", "key"]).select("type", "text", "canon_id", "name").distinct()
-    scored = stage(pairs.mapInArrow(*_table("type string, text string, canon_id string, name string, like double, nick string, first string, last string", _scores)), "scored")
+    scored = stage(pairs.mapInArrow(*rows("type string, text string, canon_id string, name string, like double, nick string, first string, last string", _scores)), "scored")
     # Nicknames: told by an alias, or by two or more surnames.
     first_word = lambda c: F.lower(F.regexp_extract(c, r"(?U)^(\w+)", 1))
     told = aliases.where("type = 'person'").join(names.where("type = 'person'").select("canon_id", "name"), "canon_id")
@@ -268,7 +264,7 @@ def attribute(mentions: DataFrame, entities: DataFrame, kinds: tuple[str, ...] =
     names_first = names.where("type = 'person'").select(first_word(F.col("name")).alias("nick")).distinct()
     nicks = nicks.join(names_first, "nick", "left_anti").unionByName(told).distinct().withColumn("known", F.lit(True))
     good = scored.join(nicks, ["nick", "first"], "left").where("nick = '' or known")
-    post = good.join(prior, "canon_id", "left").withColumn("post", F.col("like") + 0.1 * F.coalesce("prior", F.lit(0.0)))
+    post = good.join(prior, "canon_id", "left").withColumn("post", F.col("like") + F.coalesce("prior", F.lit(0.0)))
     post = stage(post.where(F.col("post") >= floor).select("type", "text", "canon_id", "post"), "posterior")
     best = post.groupBy("type", "text").agg(F.max("post").alias("top"))
     near = post.join(best, ["type", "text"]).where(F.col("post") >= F.col("top") - margin)
