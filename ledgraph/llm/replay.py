@@ -7,6 +7,7 @@ places where it stands then applies the merges in rank order and touches only th
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import os
 import re
@@ -156,10 +157,11 @@ class Replay:
 
 
 def loaded(raw: bytes) -> Replay:
-    """One Replay for each Python worker."""
-    r = _LOADED.get(len(raw))
+    """One Replay for each Python worker and vocabulary."""
+    key = hashlib.sha256(raw).digest()
+    r = _LOADED.get(key)
     if r is None:
-        r = _LOADED[len(raw)] = Replay({base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x.strip())})
+        r = _LOADED[key] = Replay({base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x.strip())})
     return r
 
 

@@ -70,14 +70,15 @@ def built(records: DataFrame, trust: DataFrame) -> DataFrame:
     )
 
 
-def truths(records: DataFrame, rounds: int = 5, keep: float = 0.5) -> DataFrame:
+def truths(records: DataFrame, rounds: int = 40, keep: float = 0.5, still: float = 0.01) -> DataFrame:
     """(canon_id, field_name, value, posterior, n_sources): the values judged true.
 
     A source covers a field of an entity if it gives any real value of it; it then denies each value that others
     give and it doesn't. For each source and field, sensitivity (share of true values it gives) and specificity
     (share of false ones it doesn't) are estimated by expectation-maximisation from smoothed starting values. A
     field of many values keeps every value of posterior `keep` or more; a single one its likeliest (then the
-    smaller value). Groups without a real value give no rows.
+    smaller value). Groups without a real value give no rows. It goes on until no sensitivity or specificity moves by
+    `still`; after `rounds` it raises instead of giving unfinished values.
     """
     r = _records(records).withColumn("source", F.coalesce("source", F.lit("")))
     one = r.select("canon_id", "source", F.expr("stack(2, 'canonical', canonical, 'located_in', located_in) as (field_name, value)"))
@@ -90,16 +91,33 @@ def truths(records: DataFrame, rounds: int = 5, keep: float = 0.5) -> DataFrame:
     votes = facts.join(said.withColumn("yes", F.lit(1)), ["canon_id", "field_name", "value", "source"], "left").withColumn("yes", F.coalesce("yes", F.lit(0)))
     votes = stage(votes, "votes")
     start = votes.groupBy("canon_id", "field_name", "value").agg(F.avg("yes").alias("p"))
-    p = start
-    for _ in range(rounds):
+    p, last = start, None
+    for no in range(rounds + 1):
         e = votes.join(p, ["canon_id", "field_name", "value"])
         q = e.groupBy("source", "field_name").agg(
             ((F.sum(F.col("p") * F.col("yes")) + 2) / (F.sum("p") + 3)).alias("sens"),
             ((F.sum((1 - F.col("p")) * (1 - F.col("yes"))) + 2) / (F.sum(1 - F.col("p")) + 3)).alias("spec"),
         )
         q = stage(q, "quality")
+        if last is not None:
+            was = last.select("source", "field_name", F.col("sens").alias("s0"), F.col("spec").alias("p0"))
+            moved = q.join(was, ["source", "field_name"]).agg(F.max(F.greatest(F.abs(F.col("sens") - F.col("s0")), F.abs(F.col("spec") - F.col("p0"))))).first()[0]
+            if moved is None or moved < still:
+                break
+        last = q
+        if no == rounds:
+            raise RuntimeError(f"no standstill after {rounds} rounds")
         odds = F.when(F.col("yes") == 1, F.log(F.col("sens") / (1 - F.col("spec")))).otherwise(F.log((1 - F.col("sens")) / F.col("spec")))
         p = votes.join(q, ["source", "field_name"]).groupBy("canon_id", "field_name", "value").agg((1 / (1 + F.exp(-F.sum(odds)))).alias("p"), F.sum("yes").alias("n_sources"))
     best = p.groupBy("canon_id", "field_name").agg(F.min(F.struct((-F.col("p")).alias("np"), F.col("value"))).alias("b"))
     got = p.join(best, ["canon_id", "field_name"]).where((F.col("field_name").isin(*LISTS) & (F.col("p") >= keep)) | (F.col("value") == F.col("b.value")))
     return got.select("canon_id", "field_name", "value", F.round("p", 6).alias("posterior"), F.col("n_sources").cast("long").alias("n_sources"))
+
+
+def agreement(records: DataFrame, trust: DataFrame) -> DataFrame:
+    """(field_name, n, same, share): for how many surviving single values the likeliest value of `truths` is the same."""
+    r = _records(records)
+    vals = survivors(records, trust).where(F.col("field_name").isin(*SINGLES)).join(r, ["canon_id", "record_id"])
+    vals = vals.select("canon_id", "field_name", trimmed(F.when(F.col("field_name") == "canonical", F.col("canonical")).otherwise(F.col("located_in"))).alias("kept"))
+    j = vals.join(truths(records).select("canon_id", "field_name", "value"), ["canon_id", "field_name"])
+    return j.groupBy("field_name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kept") == F.col("value")).alias("same")).withColumn("share", F.round(F.col("same") / F.col("n"), 4))
