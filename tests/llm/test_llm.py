@@ -211,3 +211,39 @@ def test_rare_chunks_miss_no_pair_that_shares_enough(spark):
 def test_folding():
     assert folding.words("François JetÃ¡wave") == ["francois", "jetawave"]
     assert folding.within("abcd", "acbd", 2) == 1 and folding.within("abc", "xyz", 1) == 2
+
+
+@pytest.mark.parametrize("links", [0, 200_000])
+def test_batches_checked_at_once_are_told_as_one_by_one(spark, tmp_path, monkeypatch, links):
+    """Labels go from batch to batch, by one task or by joins, and the number of parts doesn't grow with the batches."""
+    monkeypatch.setattr(arrivals, "LINKS", links)
+    rnd = random.Random(4)
+    syl = lambda n: "".join(rnd.choice("bdfgk") + rnd.choice("aeiou") for _ in range(n))
+    names = [f"{syl(4)} {syl(4)}" for _ in range(12)]
+    typo = lambda s: s[:3] + rnd.choice("lmnp") + s[3:] if rnd.random() < 0.7 else s
+    rows = [(f"m{i:03d}", rnd.choice([-1, 2, 3, None]), "place", typo(rnd.choice(names))) for i in range(60)]
+    schema = "mention_id string, batch_no int, type string, text string"
+    ents = spark.createDataFrame([("place:x", "place", names[0], [typo(names[1])])], "canon_id string, type string, canonical string, aliases array<string>")
+    path = f"file://{tmp_path}/history"
+    at_once = {(r.mention_id, r.first_id) for r in arrivals.repeats(spark.createDataFrame(rows, schema), ents, path).collect()}
+    assert len(arrivals.History(spark, path)._parts()) == 2 and sorted(arrivals.History(spark, path).batches()) == [-1, 2, 3, 2**31]
+    history = arrivals.History(spark, f"file://{tmp_path}/other")
+    history.accept_entities(ents)
+    told = spark.createDataFrame([(i, b if b is not None else 2**31, k, t) for i, b, k, t in rows], "id string, b long, type string, text string")
+    forms, apart = arrivals._with_forms(told), set()
+    for no in (-1, 2, 3, 2**31):
+        apart |= {(r.id, r.label[2:]) for r in history.check(forms.where(f"b = {no}"), no).collect() if r.id != r.label[2:]}
+    assert at_once == apart and len(at_once) > 20
+
+
+def test_letters_of_names_that_are_the_same_differ_by_few_bits():
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abdéloq日") for _ in range(rnd.randint(1, 9)))
+    near = 0
+    for _ in range(4000):
+        x = [word() for _ in range(rnd.randint(1, 3))]
+        y = [w if rnd.random() < 0.5 else (w[: rnd.randint(0, len(w))] + rnd.choice(["", "x"]) + w[rnd.randint(0, len(w)) :]) or "y" for w in rnd.sample(x, len(x))]
+        if arrivals.same(" ".join(x), " ".join(y)):
+            near += 1
+            assert ((arrivals.letters_of("".join(x)) ^ arrivals.letters_of("".join(y))) & 2**64 - 1).bit_count() <= 2 * arrivals.EDITS
+    assert near > 500
