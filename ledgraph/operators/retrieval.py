@@ -5,11 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgraph.functions.names import tokens_of
+from ledgraph.sources.tables import stage
 
 
 def cosine(x, y):
@@ -28,26 +32,73 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "v
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, term, tf, dl): the inverted index; a document's length counts all its words."""
-    t = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), tokens_of(F.col(text)).alias("ts"))
-    return t.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+def word_index(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, dl, terms): the hashed words of each document, with repeats; its length counts all of them. Copies are one row, no words none."""
+    t = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.transform(tokens_of(F.col(text)), lambda w: F.xxhash64(w)).alias("terms"))
+    t = t.where("size(terms) > 0").groupBy("id", F.size("terms").alias("dl")).agg(F.flatten(F.collect_list("terms")).alias("terms"))
+    return stage(t, "words")
 
 
-def bm25(index: DataFrame, docs_n: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score, rank) of queries (query_id, words) over an index; docs_n has n and avgdl of the corpus."""
-    q = queries.select("query_id", F.explode(tokens_of(F.col("words"))).alias("term")).distinct()
-    hit = index.join(q.select("term").distinct(), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    s = hit.join(df, "term").join(docs_n).join(q, "term")  # docs_n is one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    t = s.groupBy("query_id", "id").agg(F.round(F.sum(w), 9).alias("score"))  # copies are equal in whatever order it was summed
-    return t.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))).where(F.col("rank") <= k)
+def bm25(index: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, shard: int = 20_000, block: int = 20_000) -> DataFrame:
+    """(query_id, id, score, rank): the exact top `k` of all documents of a `word_index` for queries (query_id, words).
 
-
-def corpus_size(index: DataFrame) -> DataFrame:
-    return index.select("id", "dl").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    Each shard of documents meets each block of queries in a task of its own. There a query's words are added up over
+    an array of the shard's documents, so that pairs of a query and a document are never rows; what may be among the
+    `k` best of the shard goes on.
+    """
+    n, avgdl = index.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    q = queries.select("query_id", F.explode(F.array_distinct(tokens_of(F.col("words")))).alias("w")).select("query_id", F.xxhash64("w").alias("term")).distinct()
+    df = index.select(F.explode(F.array_distinct("terms")).alias("term"), "id").join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    q = stage(q.join(idf, "term").groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idfs")), "asked")
+    shards, blocks = max(1, -(-n // shard)), max(1, -(-q.count() // block))
+    l = index.withColumns({"s": F.expr(f"cast(pmod(xxhash64(id), {shards}) as int)"), "q": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    r = q.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), F.expr(f"cast(pmod(xxhash64(query_id), {blocks}) as int)").alias("q"), "query_id", "terms", "idfs")
+
+    def flat(t, name):
+        c = t[name].combine_chunks()
+        return c.flatten().to_numpy(zero_copy_only=False), np.diff(c.offsets.to_numpy())
+
+    def run(left, right):
+        asked, hits, scores = [], [], []
+        if left.num_rows and right.num_rows:
+            ids, row = np.unique(left["id"].to_numpy(), return_inverse=True)
+            size, (terms, sizes), (wanted, per) = len(ids), flat(left, "terms"), flat(right, "terms")
+            vocabulary, at, code = np.unique(wanted, return_index=True, return_inverse=True)
+            weight = flat(right, "idfs")[0][at] * (k1 + 1)
+            known = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+            keep = vocabulary[known] == terms
+            cell, tf = np.unique(known[keep] * left.num_rows + np.repeat(np.arange(left.num_rows), sizes)[keep], return_counts=True)
+            term, doc = np.divmod(cell, left.num_rows)
+            w = weight[term] * tf / (tf + k1 * (1 - b + b * left["dl"].to_numpy()[doc] / avgdl))
+            cell, part = np.unique(term * size + row[doc], return_inverse=True)  # an id's texts of several lengths add up
+            w, (term, doc) = np.bincount(part, w), np.divmod(cell, size)
+            starts, ends = (np.searchsorted(term, np.arange(len(vocabulary)), side).tolist() for side in ("left", "right"))
+            dense: dict = {}
+            for t, (lo, hi) in enumerate(zip(starts, ends)):
+                if hi - lo > size // 16:  # a common word: its weights for all documents
+                    dense[t] = np.bincount(doc[lo:hi], w[lo:hi], size)
+            code, begin = code.tolist(), 0
+            for no, m in zip(right["query_id"].to_pylist(), per.tolist()):
+                got = np.zeros(size)
+                for t in code[begin : begin + m]:
+                    have = dense.get(t)
+                    if have is None:
+                        got[doc[starts[t] : ends[t]]] += w[starts[t] : ends[t]]
+                    else:
+                        got += have
+                begin += m
+                least = np.partition(got, -k)[-k] - 1e-8 if size > k else 0.0  # ties are told apart after rounding
+                best = np.flatnonzero((got >= least) & (got > 0))
+                asked += [no] * len(best)
+                hits += ids[best].tolist()
+                scores += got[best].tolist()
+        return pa.table({"query_id": pa.array(asked, kind), "id": pa.array(hits, of), "score": pa.array(scores, pa.float64())})
+
+    kind, of = (to_arrow_type(d.schema[c].dataType) for d, c in ((q, "query_id"), (index, "id")))
+    got = l.groupBy("s", "q").cogroup(r.groupBy("s", "q")).applyInArrow(run, f"query_id {dict(q.dtypes)['query_id']}, id {dict(index.dtypes)['id']}, score double")
+    got = got.withColumn("score", F.round("score", 9))  # copies are equal in whatever order it was summed
+    return got.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))).where(F.col("rank") <= k)
 
 
 def hybrid(a: DataFrame, b: DataFrame, alpha: float | None, k: int) -> DataFrame:

@@ -216,9 +216,9 @@ s AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf *
 def _bm25(spark, d, k):
     """The documents whose id is divisible by 20, by their title or else their text, against title and text of all."""
     docs = table(spark, d, "documents")
-    ix = retrieval.postings(docs.select("doc_id", F.concat_ws(" ", "title", "text").alias("words")), "doc_id", "words")
+    ix = retrieval.word_index(docs.select("doc_id", F.concat_ws(" ", "title", "text").alias("words")), "doc_id", "words")
     words = F.when(F.trim("title") != "", F.col("title")).otherwise(F.col("text"))
-    return retrieval.bm25(ix, retrieval.corpus_size(ix), docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), words.alias("words")), k)
+    return retrieval.bm25(ix, docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), words.alias("words")), k)
 
 
 @query(f"WITH {_BM} SELECT query_id, id, round(score, 5) AS score, rank::INTEGER AS rank FROM rk WHERE rank <= 10")

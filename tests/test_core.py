@@ -395,3 +395,31 @@ def test_queries_equal_their_sql_on_the_smallest_tables(spark):
             if rows(q(spark, base).toPandas()) != rows(con.execute(sql[name]).df()):
                 bad.append(name)
     assert not bad
+
+
+def test_word_search_over_shards_equals_plain_sums(spark):
+    from collections import Counter
+    from math import log
+
+    from ledgraph.operators import retrieval
+
+    rnd = random.Random(12)
+    word = lambda: rnd.choice(["the", "the", "at", *(f"w{i}" for i in range(30))])
+    docs = [(rnd.randint(1, 150), " ".join(word() for _ in range(rnd.randint(0, 12)))) for _ in range(200)] + [(500, None)]
+    docs += docs[:20]
+    ix = retrieval.word_index(spark.createDataFrame(docs, "d long, words string"), "d", "words")
+    asks = [(f"q{i}", " ".join(word() for _ in range(4))) for i in range(30)] + [("none", "zzz"), ("null", None)]
+    got = {(r.query_id, r["rank"]): (r.id, r.score) for r in retrieval.bm25(ix, spark.createDataFrame(asks, "query_id string, words string"), 5, shard=40, block=7).collect()}
+    rows: dict = {}  # copies of a document of one length are one text
+    for i, t in docs:
+        if t:
+            rows.setdefault((i, len(t.split())), []).extend(t.split())
+    df, mean, want = Counter(w for ts in rows.values() for w in set(ts)), sum(dl for _, dl in rows) / len(rows), {}
+    for q, t in asks:
+        score: Counter = Counter()
+        for (i, dl), ts in rows.items():
+            for w in set((t or "").split()) & set(ts):
+                score[i] += log(1 + (len(rows) - df[w] + 0.5) / (df[w] + 0.5)) * ts.count(w) * 2.2 / (ts.count(w) + 1.2 * (0.25 + 0.75 * dl / mean))
+        score = {i: round(s, 9) for i, s in score.items()}
+        want |= {(q, k): (i, score[i]) for k, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:5], 1)}
+    assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 2e-9 for x in want)
