@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -35,6 +38,28 @@ def blocking_report(candidates: DataFrame, gold: DataFrame, n_items: DataFrame)
     return one.select("candidates", "gold_pairs", "found", (F.col("found") / F.col("gold_pairs")).alias("completeness"), (1 - F.col("candidates") / F.col("all_pairs")).alias("reduction"))
 
 
+def key_blocking_report(df: DataFrame, id_col: str, keys: list[str], cluster: str) -> DataFrame:
+    """The `blocking_report` of the pairs of rows that agree on any of `keys`, from group sizes only; no pair is listed.
+
+    Pairs that agree on any key are counted by inclusion and exclusion over the sets of keys. That holds if each id
+    has one row; otherwise it raises.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(cluster).alias("cluster"), *keys).distinct()
+    if rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("an id has several different rows")
+    within = lambda by: rows.na.drop(subset=by).groupBy(*by).count().agg(F.coalesce(F.sum(F.expr("count * (count - 1) div 2")), F.lit(0)).alias("n"))
+    parts = []
+    for k in range(1, len(keys) + 1):
+        for some in combinations(keys, k):
+            for what, by in (("candidates", [*some]), ("found", [*some, "cluster"])):
+                parts.append(within(by).select(F.lit(what).alias("what"), (F.col("n") * (-1) ** (k + 1)).alias("n")))
+    sums = reduce(DataFrame.unionByName, parts).agg(*[F.sum(F.when(F.col("what") == w, F.col("n"))).alias(w) for w in ("candidates", "found")])
+    gold_pairs = rows.groupBy("cluster").count().agg(F.sum(F.expr("count * (count - 1) div 2")).alias("gold_pairs"))
+    all_ = rows.agg(F.count(F.lit(1)).alias("n")).select(F.expr("n * (n - 1) div 2").alias("all_pairs"))
+    one = sums.join(gold_pairs).join(all_)  # one row each
+    return one.select("candidates", "gold_pairs", "found", (F.col("found") / F.col("gold_pairs")).alias("completeness"), (1 - F.col("candidates") / F.col("all_pairs")).alias("reduction"))
+
+
 def triple_score(pred: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
     """One-to-one exact matching of rows equal in `keys`: matched, spurious, missed, precision, recall, f1."""
     p, g = pred.groupBy(*keys).agg(F.count(F.lit(1)).alias("p")), gold.groupBy(*keys).agg(F.count(F.lit(1)).alias("g"))

@@ -423,3 +423,19 @@ def test_word_search_over_shards_equals_plain_sums(spark):
         score = {i: round(s, 9) for i, s in score.items()}
         want |= {(q, k): (i, score[i]) for k, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:5], 1)}
     assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 2e-9 for x in want)
+
+
+def test_or_blocking_lists_a_pair_once_and_is_counted_without_pairs(spark):
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice(["p", "q", None]), rnd.choice([None, *"abc"]), rnd.choice([None, *"xyz"])) for i in range(120)]
+    p = spark.createDataFrame(rows, "id long, cluster string, k1 string, k2 string")
+    pairs = resolution.or_blocking(p, "id", [F.col("k1"), F.col("k2")], per=9)
+    want = evaluate.blocking_report(pairs, p, p.agg(F.count(F.lit(1)).alias("n"))).first()
+    got = evaluate.key_blocking_report(p, "id", ["k1", "k2"], "cluster")
+    assert got.first() == want
+    many = spark.range(200_000).select("id", F.lit("p").alias("cluster"), F.lit("a").alias("k1"), F.col("id").cast("string").alias("k2"))
+    assert evaluate.key_blocking_report(many, "id", ["k1", "k2"], "cluster").first()[:3] == (200_000 * 199_999 // 2,) * 3
+    more = rows + [(i, None, rnd.choice("abc"), rnd.choice("xyz")) for i in range(0, 120, 9)]  # ids of two rows
+    got = [(r.a, r.b) for r in resolution.or_blocking(spark.createDataFrame(more, "id long, cluster string, k1 string, k2 string"), "id", [F.col("k1"), F.col("k2")], per=9).collect()]
+    brute = {(x[0], y[0]) for x in more for y in more if x[0] < y[0] and (x[2] and x[2] == y[2] or x[3] and x[3] == y[3])}
+    assert len(got) == len(set(got)) and set(got) == brute
