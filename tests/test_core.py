@@ -439,3 +439,28 @@ def test_or_blocking_lists_a_pair_once_and_is_counted_without_pairs(spark):
     got = [(r.a, r.b) for r in resolution.or_blocking(spark.createDataFrame(more, "id long, cluster string, k1 string, k2 string"), "id", [F.col("k1"), F.col("k2")], per=9).collect()]
     brute = {(x[0], y[0]) for x in more for y in more if x[0] < y[0] and (x[2] and x[2] == y[2] or x[3] and x[3] == y[3])}
     assert len(got) == len(set(got)) and set(got) == brute
+
+
+def test_known_candidates_equal_those_of_the_whole_index(spark):
+    """The best of all entities that share a rare word, for names of common words; a row for each of those was shuffled before."""
+    from math import log
+
+    from ledgraph.operators import registry
+
+    rnd = random.Random(2)
+    some = lambda n: " ".join(rnd.choice("amber basin cedar delta ember".split()) for _ in range(n))
+    ents = [(f"e{i:02d}", "place", some(rnd.randint(1, 4)), [some(2)] if i % 3 else None) for i in range(40)]
+    asks = [(f"m{i:02d}", "place", some(rnd.randint(1, 4))) for i in range(30)]
+    asks += [(f"n{i:02d}", k, t) for i, (_, k, t) in enumerate(asks)]
+    got = {(r.mention_id, r.canon_id): (r.score, r.arm) for r in registry.known_candidates(spark.createDataFrame(ents, "canon_id string, type string, canonical string, aliases array<string>"), spark.createDataFrame(asks, "mention_id string, type string, text string"), 2).collect()}
+    words = {e: set(f"{c} {' '.join(a or [])}".split()) for e, _, c, a in ents}
+    idf, want = {w: log(1 + len(ents) / sum(w in x for x in words.values())) for w in "amber basin cedar delta ember".split()}, {}
+    for m, _, t in asks:
+        rare = sorted(set(t.split()), key=lambda w: (-idf[w], w))[:3]
+        score = {e: round(sum(idf[w] for w in rare if w in x) / sum(idf[w] for w in set(t.split())), 6) for e, x in words.items() if x & set(rare)}
+        for e in sorted(score, key=lambda e: (-score[e], e))[:2]:
+            want[m, e] = score[e], "words"
+        for e, _, c, a in ents:
+            if t in (c, *(a or [])):
+                want[m, e] = 1.0, "exact"
+    assert {x: (round(s, 6), a) for x, (s, a) in got.items()} == want
