@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ledgraph.functions.names import casefold, folded
 from ledgraph.functions.similarity import UDFS
+from ledgraph.operators import likeness
+from ledgraph.sources.tables import stage
 
 
 def link(surfaces: DataFrame, vocabulary: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
@@ -83,20 +85,25 @@ def fuzzy(unlinked: DataFrame, vocabulary: DataFrame, least: float = 0.9) -> Dat
     """(text, key, score): for surfaces that no exact rung links, the name or alias most like it, of `least` or more.
 
     Surfaces meet names that share a word or, with a letter left out, one of five letters or more, so a typo in any
-    word but a short one is met. Ties go to the smaller key.
+    word but a short one is met. Ties go to the smaller key. Folded forms are compared, each two once; from a `least`
+    of 0.9 on, they are found by what the score needs and not by words that many names have.
     """
-    def tokens(c):
-        w = F.filter(F.split(folded(F.col(c)), " "), lambda x: F.length(x) > 1)
-        short = F.flatten(F.transform(F.filter(w, lambda x: F.length(x) >= 5), lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))))
-        return F.array_distinct(F.concat(w, short))
-
-    names = vocabulary.select("key", F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where("name is not null").distinct()
-    v = names.withColumn("t", F.explode(tokens("name")))
-    s = unlinked.where("text is not null").select("text").distinct().withColumn("t", F.explode(tokens("text")))
-    p = s.join(v, "t").select("text", "key", "name").distinct()
-    p = p.withColumn("score", UDFS["weighted"](folded(F.col("text")), folded(F.col("name")))).where(F.col("score") >= least)
-    best = p.groupBy("text").agg(F.min(F.struct((-F.col("score")).alias("n"), F.col("key"))).alias("b"))
-    return best.select("text", F.col("b.key").alias("key"), (-F.col("b.n")).alias("score"))
+    names = vocabulary.select("key", F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where("name is not null")
+    v = stage(names.select("key", folded(F.col("name")).alias("s")).where("s <> ''").groupBy("s").agg(F.min("key").alias("key")), "names")
+    t = stage(unlinked.where("text is not null").select("text").distinct().select("text", folded(F.col("text")).alias("s")).where("s <> ''"), "surfaces")
+    s = t.select("s").distinct()
+    met = F.size(likeness.tokens("s")) > 0
+    same = s.join(v, "s").where(met).select("s", "key", F.lit(1.0).alias("score"))  # nothing else has a score of 1
+    s = s.join(v.select("s"), "s", "left_anti")
+    if least >= likeness.LEAST:
+        p = likeness.pairs(stage(s, "open"), v.select("s"), least).where(F.arrays_overlap(likeness.tokens("a"), likeness.tokens("b")))
+    else:
+        l, r = (df.select(F.col("s").alias(c), F.explode(likeness.tokens("s")).alias("t")) for df, c in ((s, "a"), (v, "b")))
+        p = l.join(r, "t").select("a", "b").distinct()
+    p = stage(p, "likely").withColumn("score", UDFS["weighted"]("a", "b")).where(F.col("score") >= least)
+    best = p.join(v.withColumnRenamed("s", "b"), "b").groupBy(F.col("a").alias("s")).agg(F.min(F.struct((-F.col("score")).alias("n"), F.col("key"))).alias("b"))
+    best = best.select("s", F.col("b.key").alias("key"), (-F.col("b.n")).alias("score")).unionByName(same)
+    return t.join(best, "s").where(F.col("score") >= least).select("text", "key", "score")
 
 
 def pins(links: DataFrame, prefix: str = "") -> DataFrame:

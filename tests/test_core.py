@@ -367,6 +367,38 @@ def test_fuzzy_links_and_first_hits(spark):
     assert [x.other for x in linking.near_spans(l, r, ["doc_id"], "at", 2, F.col("other").desc()).collect()] == ["b"]
 
 
+def test_likely_pairs_hold_every_good_one_and_not_all_that_share_a_word(spark):
+    from ledgraph.operators import likeness
+
+    rnd = random.Random(5)
+    part = lambda: "".join(rnd.choice("dkmrtz") + rnd.choice("aeiou") for _ in range(rnd.randint(1, 3)))
+    name = lambda: " ".join([part(), part(), rnd.choice(["hotels", "foods", "semiconductor"]), rnd.choice(["llc", "b v", "ag"])][: rnd.randint(1, 4)])
+
+    def spoilt(s):
+        for _ in range(rnd.randint(0, 3)):
+            i = rnd.randrange(len(s))
+            s = rnd.choice([s[:i] + s[i + 1 :], s[:i] + rnd.choice("aekx") + s[i:], s[:i] + "x" + s[i + 1 :], f"the {s}", f"{s} {s.split()[-1] if s.split() else 'x'}", s[: i + 2], " ".join(reversed(s.split()))]) or "a"
+        return " ".join(s.split()) or "a"
+
+    right = sorted({name() for _ in range(250)} | {f"{part()} {'long ' * 13}hotels llc" for _ in range(5)} | {"ra", "ag"})
+    left = sorted({spoilt(rnd.choice(right)) for _ in range(400)} | {name() for _ in range(100)})
+    df = lambda x: spark.createDataFrame([(v,) for v in x], "s string")
+    words = lambda s: {w for w in s.split() if len(w) > 1} | {w[:i] + w[i + 1 :] for w in s.split() if len(w) >= 5 for i in range(len(w))}
+    meets = {(a, b) for a in left for b in right if a != b and words(a) & words(b)}
+    for least in (0.9, 0.93, 0.96):
+        want = {p for p in meets if similarity.weighted(*p) >= least}
+        got = {tuple(r) for r in likeness.pairs(df(left), df(right), least).collect()}
+        assert want <= got and len(want) > 20 and len(got) < len(meets) / 4
+        v = spark.createDataFrame([(f"k{i:04d}", s, None) for i, s in enumerate(right)], "key string, canonical string, aliases array<string>")
+        best: dict = {}
+        for a in left:
+            for i, b in enumerate(right):
+                if words(a) & words(b) and (x := similarity.weighted(a, b)) >= least:
+                    best[a] = min(best.get(a, (0, "")), (-x, f"k{i:04d}"))
+        assert {r.text: (-r.score, r.key) for r in linking.fuzzy(df(left).withColumnRenamed("s", "text"), v, least).collect()} == best
+    assert sorted(likeness.like(["a" * 70, "b" * 64], ["a" * 69, "b" * 66, "c"], 0.9)) == [(0, 0), (1, 1)]
+
+
 def test_queries_equal_their_sql_on_the_smallest_tables(spark):
     """Every core query that has SQL, on sf0.001; bounded to the quick ones' order of magnitude by the size of the tables."""
     import os
