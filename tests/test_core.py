@@ -399,6 +399,28 @@ def test_likely_pairs_hold_every_good_one_and_not_all_that_share_a_word(spark):
     assert sorted(likeness.like(["a" * 70, "b" * 64], ["a" * 69, "b" * 66, "c"], 0.9)) == [(0, 0), (1, 1)]
 
 
+def test_live_resolution_scores_names_and_not_their_mentions(spark, monkeypatch):
+    from ledgraph.operators import registry
+
+    reg = spark.createDataFrame([("o1", "organization", "Harbek Line", ["moves freight from the port"]), ("o2", "organization", "Oslo", None)], "canon_id string, type string, canonical string, aliases array<string>")
+    rows = [(f"a{i:03d}", "organization", "Oslo", f"context {i}") for i in range(300)]
+    rows += [(f"b{i:03d}", "organization", "Bergen Works", f"context {i}") for i in range(300)]
+    rows += [("c1", "organization", "Harbek Line Port", "moves freight from the port"), ("c2", "organization", "Harbek Line Port", None), ("d1", "organization", "Zeta Kilo", "ships"), ("d2", "organization", "Zeta Kilo Mast", "ships"), ("e1", "organization", "...", None), ("e2", "organization", "...", None)]
+    scored, plain = [], registry.score_pairs
+
+    def counted(pairs, *more):
+        scored.append(pairs.count())
+        return plain(pairs, *more)
+
+    monkeypatch.setattr(registry, "score_pairs", counted)
+    m = spark.createDataFrame(rows + rows[:50], "mention_id string, type string, text string, context string")
+    got = {r.mention_id: (r.canon_id, r.pass_no, r.score and round(r.score, 2)) for r in registry.live_resolve(reg, m).collect()}
+    assert got["c1"] == ("o1", 1, 0.92) and got["c2"] == ("new:c2", 2, None) and got["d1"] == got["d2"] == ("new:d1", 2, None)
+    assert all(got[f"a{i:03d}"] == ("o2", 1, 1.0) and got[f"b{i:03d}"] == ("new:b000", 2, None) for i in range(300)) and len(got) == len(rows)
+    assert got["e1"] == got["e2"] == ("new:e1", 2, None)
+    assert sum(scored) < 20
+
+
 def test_queries_equal_their_sql_on_the_smallest_tables(spark):
     """Every core query that has SQL, on sf0.001; bounded to the quick ones' order of magnitude by the size of the tables."""
     import os
