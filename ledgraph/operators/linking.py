@@ -115,15 +115,52 @@ def widened(mentions: DataFrame) -> DataFrame:
     """(a, b): pairs of different types with an acronym-shaped text at one end that may stand for the other's, or of equal folded text.
 
     An acronym meets the mentions of another type that begin with its first letter, not all of them: else the pairs
-    would be as many as acronyms times mentions.
+    would be as many as acronyms times mentions. A pair is given under the first rule and end that give it, so pairs
+    aren't compared with each other, but for those of ids that have several different rows.
     """
     m = mentions.where("text is not null and type is not null").select("mention_id", "type", "text").distinct()
-    acro = m.where(F.col("text").rlike("^[A-Z][A-Z&.]{1,5}$")).select(F.col("mention_id").alias("x"), F.col("type").alias("tx"), F.lower(F.substring("text", 1, 1)).alias("k"))
-    rest = m.select(F.col("mention_id").alias("y"), F.col("type").alias("ty"), F.lower(F.substring(F.trim("text"), 1, 1)).alias("k"))
-    low = m.select("mention_id", "type", casefold(F.col("text")).alias("k"))
-    same = low.select(F.col("mention_id").alias("x"), F.col("type").alias("tx"), "k").join(low.select(F.col("mention_id").alias("y"), F.col("type").alias("ty"), "k"), "k")
-    both = acro.join(rest, "k").unionByName(same).where("tx <> ty and x <> y")
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    m = m.select(
+        F.col("mention_id").alias("id"), "type", F.col("text").rlike("^[A-Z][A-Z&.]{1,5}$").alias("acro"), F.lower(F.substring(F.trim("text"), 1, 1)).alias("letter"), casefold(F.col("text")).alias("low"),
+        (F.count(F.lit(1)).over(W.partitionBy("mention_id")) > 1).alias("many"),
+    )
+    m = stage(m, "widened")
+    several = m.groupBy("low").agg(F.count_distinct("type").alias("n")).where("n > 1").select("low")
+    same = stage(m.join(several, "low", "left_semi"), "same")
+    side = lambda df, k, x: df.select(F.col(k).alias("k"), F.col("id").alias(x), F.col("type").alias(f"t{x}"), F.col("acro").alias(f"a{x}"), F.col("letter").alias(f"l{x}"))
+    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+
+    def by_letter(l, r):
+        return crossed(side(m.where("acro").where(l), "letter", "x").drop("ax", "lx"), side(m.where(r), "letter", "y").drop("ly"))
+
+    def by_text(l, r):
+        return crossed(side(same.where(l), "low", "x"), side(same.where(r), "low", "y"))
+
+    once = by_letter("not many", "not many").where("not ay or x < y").select(*pair)
+    once = once.unionByName(by_text("not many", "not many").where("x < y and not ((ax or ay) and lx = ly)").select("x", "y").toDF("a", "b"))
+    if m.where("many").isEmpty():
+        return once
+    rest = [f(l, r) for f in (by_letter, by_text) for l, r in (("many", "true"), ("not many", "many"))]
+    rest = [df.where("x <> y").select(*pair) for df in rest]
+    return once.unionByName(rest[0].unionByName(rest[1]).unionByName(rest[2]).unionByName(rest[3]).distinct())
+
+
+def crossed(left: DataFrame, right: DataFrame, per: int = 1000, wide: int = 20_000, task: int = 2_000_000) -> DataFrame:
+    """Each row of `left` (k, x, tx and more) with each of `right` (k, y, ty and more) of equal k and another type.
+
+    A key's rows are cut by the hash of the id into `per` and `wide` rows; each two of these groups meet in a cell of
+    their own, the ids of `left` as one array for each type. There are as many tasks as pairs ask for, not bytes; a
+    task's share of the arrays is small, and hashing it gives pairs faster than merging sorted rows.
+    """
+    count = lambda df, n: df.groupBy("k").agg(F.count(F.lit(1)).alias(n))
+    sizes = stage(count(left, "n").join(count(right, "m"), "k").withColumns({"p": F.ceil(F.col("n") / per).cast("int"), "q": F.ceil(F.col("m") / wide).cast("int")}), "sizes")
+    total, rows = sizes.agg(F.sum(F.col("n").cast("double") * F.col("m")), F.sum(F.col("n") + F.col("m"))).first()
+    tasks = int(min(4096, (total or 0) // task) + (rows or 0) // 200_000 + 1)
+    cut = sizes.select("k", "p", "q")
+    l = left.join(cut, "k").withColumn("i", F.expr("cast(pmod(xxhash64(x), p) as int)"))
+    l = l.groupBy("k", "q", "i", *[c for c in left.columns if c not in ("k", "x")]).agg(F.collect_list("x").alias("xs")).withColumn("j", F.explode(F.expr("sequence(0, q - 1)"))).drop("q")
+    r = right.join(cut, "k").withColumn("j", F.expr("cast(pmod(xxhash64(y), q) as int)")).withColumn("i", F.explode(F.expr("sequence(0, p - 1)"))).drop("p", "q")
+    met = l.repartition(tasks, "k", "i", "j").hint("shuffle_hash").join(r.repartition(tasks, "k", "i", "j"), ["k", "i", "j"]).where("tx <> ty").drop("k", "i", "j", "tx", "ty")
+    return met.withColumn("x", F.explode("xs")).drop("xs")
 
 
 def contained(mentions: DataFrame, units: DataFrame) -> DataFrame:

@@ -421,6 +421,30 @@ def test_live_resolution_scores_names_and_not_their_mentions(spark, monkeypatch)
     assert sum(scored) < 20
 
 
+@pytest.mark.parametrize("many", [False, True])
+def test_widened_pairs_are_given_once_without_comparing_them(spark, many):
+    import re
+
+    rnd = random.Random(8)
+    texts = ["AB", "ABC", "A&B", "ab", "Abc", " abc", "ßA", "SSA", "ssa", "B.V", "b.v", "Bergen", "alpha", "", "straße", "STRASSE", "strasse", "K", "KM", "km"]
+    ms = [(f"m{i:03d}", rnd.choice(["org", "tool", "place"]), rnd.choice(texts)) for i in range(150)] + [("x", None, "AB"), ("y", "org", None)]
+    ms += ms[:20] + ([(i, rnd.choice(["org", "tool"]), rnd.choice(texts)) for i, *_ in ms[:30]] if many else [])
+    fold = lambda s: s.lower().replace("ß", "ss").replace("ς", "σ")
+    rows = {r for r in ms if None not in r}
+    want = set()
+    for i, t, s in rows:
+        for j, u, v in rows:
+            if t != u and i != j and (fold(s) == fold(v) or re.fullmatch("[A-Z][A-Z&.]{1,5}", s) and s[:1].lower() == v.strip(" ")[:1].lower()):
+                want.add((min(i, j), max(i, j)))
+    df = linking.widened(spark.createDataFrame(ms, "mention_id string, type string, text string"))
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert many or "Aggregate(keys=[a#" not in df._jdf.queryExecution().executedPlan().toString()
+    l = spark.createDataFrame([("k", f"x{i}", "p" if i % 3 else "q") for i in range(40)], "k string, x string, tx string")
+    r = spark.createDataFrame([("k", f"y{i}", "q") for i in range(50)] + [("z", "y", "p")], "k string, y string, ty string")
+    assert sorted(tuple(c) for c in linking.crossed(l, r, 7, 11, 100).select("x", "y").collect()) == sorted((f"x{i}", f"y{j}") for i in range(40) if i % 3 for j in range(50))
+
+
 def test_queries_equal_their_sql_on_the_smallest_tables(spark):
     """Every core query that has SQL, on sf0.001; bounded to the quick ones' order of magnitude by the size of the tables."""
     import os
