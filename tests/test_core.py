@@ -542,3 +542,31 @@ def test_known_candidates_equal_those_of_the_whole_index(spark):
             if t in (c, *(a or [])):
                 want[m, e] = 1.0, "exact"
     assert {x: (round(s, 6), a) for x, (s, a) in got.items()} == want
+
+
+def test_known_candidates_share_any_of_a_name_s_words(spark, tmp_path):
+    """All words of a name are looked up, not its three rarest; also of names with more words than are looked up in parts."""
+    from math import log
+
+    from ledgraph.plans import more_queries
+
+    rnd, voc = random.Random(3), "amber basin cedar delta ember fjord gorge heath islet jetty knoll".split()
+    some = lambda n: " ".join(rnd.sample(voc, n))
+    ents = [(f"e{i:02d}", "place", some(rnd.choice([1, 2, 4, 6, 10])), [some(2)] if i % 3 else None) for i in range(50)]
+    ents.append(("e99", "place", "harbour", None))
+    asks = [(f"m{i:02d}", "place", some(rnd.choice([1, 3, 4, 5, 8, 9, 11]))) for i in range(40)]
+    asks += [(f"n{i:02d}", k, t + " zzyzx") for i, (_, k, t) in enumerate(asks)] + [("o", "place", "harbour amber basin cedar")]
+    spark.createDataFrame(ents, "canon_id string, type string, canonical string, aliases array<string>").write.parquet(f"{tmp_path}/entities.parquet")
+    spark.createDataFrame(asks, "mention_id string, type string, text string").write.parquet(f"{tmp_path}/mentions.parquet")
+    got = {(r.mention_id, r.canon_id): (r.score, r.arm) for r in more_queries.known_candidates(spark, str(tmp_path)).collect()}
+    words = {e: set(f"{c} {' '.join(a or [])}".split()) for e, _, c, a in ents}
+    idf, want = {w: log(1 + len(ents) / sum(w in x for x in words.values())) for w in [*voc, "harbour"]}, {}
+    for m, _, t in asks:
+        ts = set(t.split()) & idf.keys()
+        score = {e: round(sum(idf[w] for w in sorted(ts & x)) / sum(idf[w] for w in sorted(ts)), 9) for e, x in words.items() if x & ts}
+        for e in sorted(score, key=lambda e: (-score[e], e))[:5]:
+            want[m, e] = score[e], "words"
+        for e, _, c, a in ents:
+            if t in (c, *(a or [])):
+                want[m, e] = 1.0, "exact"
+    assert {x: (round(s, 6), a) for x, (s, a) in got.items()} == {x: (round(s, 6), a) for x, (s, a) in want.items()}
