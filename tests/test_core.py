@@ -570,3 +570,18 @@ def test_known_candidates_share_any_of_a_name_s_words(spark, tmp_path):
             if t in (c, *(a or [])):
                 want[m, e] = 1.0, "exact"
     assert {x: (round(s, 6), a) for x, (s, a) in got.items()} == {x: (round(s, 6), a) for x, (s, a) in want.items()}
+
+
+def test_or_blocking_sends_no_large_keys_to_the_driver_and_no_null_ids(spark):
+    """The table of large keys isn't broadcast by force; a null id made a pair of its partner with itself."""
+    rows = [(None if i in (3, 50) else i, "big" if i % 4 else None, rnd) for i, rnd in zip(range(90), random.Random(4).choices("abc", k=90), strict=True)] + [(7, "other", "a"), (8, "other", "b"), (7, None, "c")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = resolution.or_blocking(spark.createDataFrame(rows, "id long, k1 string, k2 string"), "id", [F.col("k1"), F.col("k2")], per=7)
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        got = [(r.a, r.b) for r in df.collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    known = [x for x in rows if x[0] is not None]
+    want = {(x[0], y[0]) for x in known for y in known if x[0] < y[0] and (x[1] and x[1] == y[1] or x[2] == y[2])}
+    assert len(got) == len(set(got)) and set(got) == want
